@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DoubleType, FloatType
 
 
 def build_session(app: str = "veilspan", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,5 +46,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (FloatType, DoubleType)):  # dictionaries of measured values cost much and save nothing
+            writer = writer.option(f"parquet.enable.dictionary#{f.name}", "false")
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
