@@ -115,11 +115,6 @@ def _stitched(rows: DataFrame) -> DataFrame:
     return islands.withColumn("total", total).where(F.col("total") >= RUN).select("src", "m", "chunk", "edge", F.lit(True).alias("joined"))
 
 
-def _outside(x: Column, a: Column, y: Column, b: Column) -> Column:
-    part = lambda v, axis: F.when(v == 0, F.lit(0.0)).when(axis == 0, F.lit(float("inf"))).otherwise((v / axis) * (v / axis))
-    return part(x, a) + part(y, b) >= 1
-
-
 def flag_faults(df: DataFrame, source: str, ts: str, key: str, measures: tuple[Measure, ...] = MEASURES, iterations: int = 2, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row per implausible reading: ``id, src, measure_name, v, median, mad, fault``.
 
@@ -170,14 +165,20 @@ def flag_faults(df: DataFrame, source: str, ts: str, key: str, measures: tuple[M
         cs2, sn2, a2, c2 = (F.col(x) * F.col(x) for x in ("cs", "sn", "a", "c"))
         det = F.nullif(cs2 * cs2 - sn2 * sn2, zero)
         axes = axes.withColumns({"p": F.coalesce((cs2 * a2 - sn2 * c2) / det, zero), "q": F.coalesce((cs2 * c2 - sn2 * a2) / det, zero)})
-        axes = axes.withColumns({"p": F.sqrt(F.when(F.col("q") > 0, F.greatest("p", zero))), "q": F.sqrt(F.when(F.col("p") > 0, F.greatest("q", zero)))})
-        along, across = F.col("u") * F.col("cs") + F.col("d2") * F.col("sn"), F.col("d2") * F.col("cs") - F.col("u") * F.col("sn")
-        tilted = F.when((F.col("p") > 0) & (F.col("q") > 0), _outside(along, F.col("p"), across, F.col("q")))
-        spike = _outside(F.col("u"), F.col("a"), F.col("d1"), F.col("b")) | _outside(F.col("d1"), F.col("b"), F.col("d2"), F.col("c")) | F.coalesce(tilted, F.lit(False))
-        tagged = join_small(scored, materialize(axes.drop("turn"), "axes"), group, n_groups, "left").withColumn("spike", F.coalesce(spike, F.lit(True)))
+        tilted = (F.col("p") > 0) & (F.col("q") > 0)
+        inverse = lambda x: F.when(F.col(x) > 0, 1 / F.col(x)).otherwise(F.lit(1e300))
+        # Inverse half-axes: a zero axis lets nothing but zero inside, a missing ellipse everything.
+        axes = axes.select(*group, "cs", "sn", *[inverse(x).alias(f"i{x}") for x in "abc"], *[F.when(tilted, 1 / F.sqrt(x)).otherwise(zero).alias(f"i{x}") for x in "pq"])
+        tagged = join_small(scored, materialize(axes, "axes"), group, n_groups, "left")
+        x, y, z = F.col("u") * F.col("ia"), F.col("d1") * F.col("ib"), F.col("d2") * F.col("ic")
+        along = (F.col("u") * F.col("cs") + F.col("d2") * F.col("sn")) * F.col("ip")
+        across = (F.col("d2") * F.col("cs") - F.col("u") * F.col("sn")) * F.col("iq")
+        spike = (x * x + y * y >= 1) | (y * y + z * z >= 1) | (along * along + across * across >= 1)
+        tagged = tagged.withColumn("spike", F.coalesce(spike, F.lit(True)))
+    tagged = tagged.where("impossible or stuck or spike")
     fault = F.when(F.col("impossible"), "impossible").when(F.col("stuck"), "stuck").when(F.col("spike"), "spike")
     name = _pick(measures, lambda m: F.lit(m.name))
-    return tagged.withColumn("fault", fault).where("fault is not null").select("id", F.nullif("src", F.lit("\0")).alias("src"), name.alias("measure_name"), "v", "median", "mad", "fault")
+    return tagged.withColumn("fault", fault).select("id", F.nullif("src", F.lit("\0")).alias("src"), name.alias("measure_name"), "v", "median", "mad", "fault")
 
 
 def confirmed(faults: DataFrame, measures: tuple[Measure, ...] = MEASURES) -> DataFrame:
