@@ -29,12 +29,17 @@ def p2_day_summaries(spark: SparkSession, root: str) -> DataFrame:
     return day_summaries(_values(spark, root), GROUPS, "day", "v")
 
 
+def p2_day_knots(spark: SparkSession, root: str) -> DataFrame:
+    """The day summaries as a table of one row per kept order statistic."""
+    return p2_day_summaries(spark, root).select(*GROUPS, "day", "n", F.inline("knots"))
+
+
 def p2_combined_percentiles(spark: SparkSession, root: str) -> DataFrame:
     """The same percentiles from the day summaries alone, with the proven rank error."""
     return combine_days(p2_day_summaries(spark, root), GROUPS, PROBS)
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_day_summaries": p2_day_summaries, "p2_combined_percentiles": p2_combined_percentiles}
+QUERIES = {"p2_day_knots": p2_day_knots, "p2_percentiles": p2_percentiles, "p2_day_summaries": p2_day_summaries, "p2_combined_percentiles": p2_combined_percentiles}
 ORACLE = {
     "p2_percentiles": f"""
 WITH x AS (

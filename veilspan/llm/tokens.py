@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,14 +15,17 @@ RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@cache
 def encoding(ranks: str):
-    """The tokenizer of a rank file, once per worker."""
+    """The tokenizer of a rank file, read once per worker process and kept with the library."""
     import tiktoken
 
+    kept = tiktoken.__dict__.setdefault("_veilspan", {})
+    if ranks in kept:
+        return kept[ranks]
     with open(ranks, "rb") as f:
         merges = {base64.b64decode(word): int(rank) for word, rank in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
+    kept[ranks] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
+    return kept[ranks]
 
 
 def token_sizes(docs: DataFrame, key: str, text: str, *keep: str, ranks: str = RANKS) -> DataFrame:
