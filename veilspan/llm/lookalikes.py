@@ -144,6 +144,16 @@ class Former:
                     if x != y:
                         self.twins[x, alphabet(y)] = y
 
+    @classmethod
+    def everyday(cls) -> Former:
+        """One for any text: all of Unicode, with the letters of European languages as the usual ones."""
+        counts = {chr(c): 1 for c in range(0x20000) if plainer(chr(c)) is not None and not 0xAC00 <= c <= 0xD7A3}
+        counts |= {chr(c): 1 for c in range(0x300, 0x370) if ud.category(chr(c)) == "Mn"}
+        counts |= {chr(c): 20 for c in [*range(0x391, 0x3CA), *range(0x410, 0x450)]}
+        counts |= {chr(c): 50 for c in range(0xC0, 0x180)}
+        counts |= {chr(c): 1000 for c in range(0x20, 0x7F)}
+        return cls(counts)
+
     def _pass(self, text: str) -> str:
         out, at = [], 0
         for end, found in self.automaton.iter_long(text):
