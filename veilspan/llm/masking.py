@@ -19,8 +19,10 @@ from veilspan.llm.tagger import load, spans, tag
 TOGETHER = 4_000
 #: Line between the values of one JSON text.
 BREAK = "\n"
+#: Signs that do not end a word of the type.
+INSIDE = {"email": "@._+-", "phone": "+-", "identity_number": "-", "street_address": "-", "person_name": "-_"}
 CHECKS = {
-    "email": regex.compile(r"@|(?i:\bat\b|dot)|％40"),
+    "email": regex.compile(r"(?i)\w@\w|\w\s*[(\[]at[)\]]\s*\w|\w\s+at\s+\w.*(?:dot|[.])"),
     "phone": regex.compile(r"(?:\d\D*){8,15}$"),
     "identity_number": regex.compile(r"^\D{0,3}(?:[1-9]\D?\d{6}\D?\d{4}|\d{3}\D?\d{2}\D?\d{4}|\p{L}{2}\D?\d{7})\D{0,2}$"),
     "street_address": regex.compile(r"(?s)^(?=.*\p{L}{3})(?=.*\d)"),
@@ -57,15 +59,24 @@ def as_read(text: str, former: Former) -> str:
 
 
 def checked(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans without blank ends whose characters can be of their type."""
-    out = []
+    """Whole words without blank ends, in order and apart, whose characters can be of their type."""
+    out, last = [], 0
     for a, b, kind in found:
+        a = max(a, last)
+        inner = INSIDE[kind]
         while a < b and text[a].isspace():
             a += 1
         while b > a and text[b - 1].isspace():
             b -= 1
+        if a == b:
+            continue
+        while a > last and (text[a - 1].isalnum() or text[a - 1] in inner) and (text[a].isalnum() or text[a] in inner):
+            a -= 1
+        while b < len(text) and (text[b].isalnum() and (text[b - 1].isalnum() or text[b - 1] in inner) or text[b] in inner and text[b + 1 : b + 2].isalnum()):
+            b += 1
         if CHECKS[kind].search(text[a:b]):
             out.append((a, b, kind))
+            last = b
     return out
 
 
