@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from veilspan.plans import analytics, detection, monitoring, problems
+from veilspan.plans import analytics, detection, models, monitoring, problems, texts
 
-MODULES = (detection, analytics, monitoring, problems)
+MODULES = (detection, analytics, monitoring, texts, models, problems)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}
