@@ -151,7 +151,7 @@ b AS (SELECT *, CASE kind WHEN 'min' THEN (lo - value) / lo WHEN 'max' THEN (val
 SELECT metric, id, value, kind, CASE WHEN d > 0.5 THEN 'critical' WHEN d > 0.3 THEN 'high' WHEN d > 0.1 THEN 'medium' ELSE 'low' END AS severity FROM b""",
     "anomaly_rollup": f"WITH {_Z} SELECT kind, severity, count(*) AS anomalies FROM z GROUP BY ALL",
     "anomaly_top5": f"WITH {_Z} SELECT metric, count(*) AS anomalies FROM z GROUP BY ALL ORDER BY anomalies DESC, metric LIMIT 5",
-    "system_health": f"""WITH {_Z}, c AS (SELECT count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high FROM z JOIN performance_metrics USING (id) WHERE ts >= (SELECT max(ts) - 86400 FROM performance_metrics)),
+    "system_health": f"""WITH {_Z}, c AS (SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high FROM z JOIN performance_metrics USING (id) WHERE ts >= (SELECT max(ts) - 86400 FROM performance_metrics)),
 h AS (SELECT CAST(critical AS BIGINT) AS critical, CAST(high AS BIGINT) AS high, CAST(greatest(0, 100 - 20 * critical - 10 * high) AS BIGINT) AS score FROM c)
 SELECT *, CASE WHEN critical > 0 THEN 'critical' WHEN score >= 90 THEN 'healthy' WHEN score >= 70 THEN 'warning' ELSE 'critical' END AS status FROM h""",
     "daily_trend": f"WITH {_S} SELECT metric, CAST(make_timestamp(CAST(floor(ts) AS BIGINT) * 1000000) AS DATE) AS day, count(*) AS n, round(avg(value), 9) AS mean FROM s GROUP BY ALL",
