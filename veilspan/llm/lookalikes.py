@@ -26,6 +26,7 @@ ALIKE = {
 }
 #: Alphabets whose words need joiners.
 JOINED = ("ARABIC", "DEVANAGARI", "BENGALI", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "GUJARATI", "GURMUKHI", "ORIYA", "SINHALA", "MONGOLIAN", "SYRIAC", "KHMER", "MYANMAR")
+EAST_ASIAN = ("CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "HANGUL", "BOPOMOFO", "IDEOGRAPHIC")
 #: A letter sequence with its marks; what a backslash escapes is no part of a word.
 WORD = regex.compile(r"\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[pP]\{[^}]*\}|.)(*SKIP)(*FAIL)|\p{L}[\p{L}\p{M}]*", regex.DOTALL)
 
@@ -59,9 +60,11 @@ _ALPHABETS: dict[str, str] = {}
 
 
 def alphabet(c: str) -> str:
-    """The first word of a letter's name: its alphabet; marks and modifiers have none."""
+    """The first word of a letter's name: its alphabet; marks, signs and modifiers have none, and East Asian scripts, which are mixed in any word, are one."""
     if (found := _ALPHABETS.get(c)) is None:
-        found = _ALPHABETS[c] = ud.name(c, "").partition(" ")[0] if ud.category(c) in ("Ll", "Lu", "Lt", "Lo") else ""
+        first, _, rest = ud.name(c, "").partition(" ")
+        found = "CJK" if first in EAST_ASIAN else first if "LETTER" in rest and ud.category(c) in ("Ll", "Lu", "Lt", "Lo") else ""
+        _ALPHABETS[c] = found
     return found
 
 

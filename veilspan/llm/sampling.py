@@ -99,9 +99,9 @@ def draw_sample(df: DataFrame, key: str, targets: DataFrame, size: int | None =
     signed, names = _signed(df, key, rows)
     signed = materialize(signed, "signed")
     # At most one row per combination of target classes.
-    found = signed.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect() if names else []
+    found = signed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).collect() if names else []
     found = sorted(found, key=lambda r: tuple(str(r[x]) for x in names))
-    available = np.array([r["n"] for r in found], dtype=np.int64)
+    available = np.array([r["_n"] for r in found], dtype=np.int64)
     member = np.array([[r[t.field_name] == t.field_class for t in rows] for r in found], dtype=np.int64).reshape(len(found), len(rows))
     field = np.array([names.index(t.field_name) for t in rows], dtype=np.int64)
     total, have = int(available.sum()), available @ member
@@ -114,20 +114,20 @@ def draw_sample(df: DataFrame, key: str, targets: DataFrame, size: int | None =
     counts = take @ member
 
     plan = [(*[r[x] for x in names], int(k)) for r, k in zip(found, take)]
-    schema = ", ".join(f"`{x}` string" for x in names) + ", take bigint"
+    schema = ", ".join(f"`{x}` string" for x in names) + ", _take bigint"
     plan = F.broadcast(spark.createDataFrame(plan, schema))
     on = lambda a, b: [a[x].eqNullSafe(b[x]) for x in names]
     # The take smallest hashes of each signature: whole ranges of hashes, then the smallest of one more range.
     lot = F.xxhash64(F.lit(seed), "id")
-    rolled = signed.withColumn("lot", lot).withColumn("range", F.pmod("lot", F.lit(RANGES)))
-    w = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = rolled.groupBy(*names, "range").agg(F.count(F.lit(1)).alias("c")).withColumn("to", F.sum("c").over(w))
-    ranges = ranges.join(plan, on(ranges, plan)).select(*[ranges[x] for x in names], "range", "c", "to", "take").where("to - c < take")
+    rolled = signed.withColumn("_lot", lot).withColumn("_range", F.pmod("_lot", F.lit(RANGES)))
+    w = Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = rolled.groupBy(*names, "_range").agg(F.count(F.lit(1)).alias("_c")).withColumn("_to", F.sum("_c").over(w))
+    ranges = ranges.join(plan, on(ranges, plan)).select(*[ranges[x] for x in names], "_range", "_c", "_to", "_take").where("_to - _c < _take")
     ranges = materialize(ranges, "ranges")
     small = F.broadcast(ranges) if len(found) * RANGES <= 2_000_000 else ranges
-    drawn = rolled.join(small, [*on(rolled, small), rolled["range"] == small["range"]]).select("id", *[rolled[x] for x in names], "lot", "c", "to", "take")
-    edge = drawn.where("to > take").withColumn("r", F.row_number().over(Window.partitionBy(*names).orderBy("lot", "id"))).where("r <= take - (to - c)")
-    sample = drawn.where("to <= take").select("id", *names).unionByName(edge.select("id", *names))
+    drawn = rolled.join(small, [*on(rolled, small), rolled["_range"] == small["_range"]]).select("id", *[rolled[x] for x in names], "_lot", "_c", "_to", "_take")
+    edge = drawn.where("_to > _take").withColumn("_r", F.row_number().over(Window.partitionBy(*names).orderBy("_lot", "id"))).where("_r <= _take - (_to - _c)")
+    sample = drawn.where("_to <= _take").select("id", *names).unionByName(edge.select("id", *names))
 
     report = []
     for t, got, all_, want in zip(rows, counts, have, goal):
