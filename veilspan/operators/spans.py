@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.patterns import CATEGORY_SPECIFICITY, DEFAULT_SPECIFICITY, PATTERN_SPECIFICITY, catalogue, jvm
+from veilspan.session import spread
 
 SPAN = "array<struct<pattern:string,category:string,ord:int,n:int,full:string,full_start:int,text:string,start:int,end:int,specificity:int>>"
 
@@ -49,13 +50,13 @@ def find_spans(df: DataFrame, key: str, text: str, patterns: list[tuple[str, str
     """One row per match: ``key`` and the fields of the span.  A narrow scan: one pass, no join, no shuffle."""
     patterns = patterns or catalogue()
     spans = F.concat(*[pattern_spans(F.col(text), *p, i) for i, p in enumerate(patterns)])
-    return df.where(F.col(text).isNotNull()).select(key, F.inline(spans))
+    return spread(df.where(F.col(text).isNotNull()).select(key, text)).select(key, F.inline(spans))
 
 
 def category_counts(df: DataFrame, text: str, patterns: list[tuple[str, str, str, bool]], *by: str) -> DataFrame:
     """Matches per category (and ``by``) without offsets: counts are enough for reports."""
     one = F.array(*[F.struct(F.lit(c).alias("category"), F.regexp_count(F.col(text), F.lit(jvm(p, i))).alias("n")) for _, c, p, i in patterns])
-    rows = df.where(F.col(text).isNotNull()).select(*by, F.explode(one).alias("x")).where("x.n > 0")
+    rows = spread(df.where(F.col(text).isNotNull()).select(*by, text)).select(*by, F.explode(one).alias("x")).where("x.n > 0")
     return rows.groupBy(*by, F.col("x.category").alias("category")).agg(F.sum("x.n").cast("bigint").alias("matches"))
 
 

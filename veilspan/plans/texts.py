@@ -10,6 +10,7 @@ from veilspan.operators import context as C
 from veilspan.operators import features as X
 from veilspan.operators import validate as V
 from veilspan.operators.learning import learned, phrase_hits
+from veilspan.session import spread
 from veilspan.sources.tables import table
 
 #: Detections as the scoring of contexts knows them.
@@ -50,12 +51,12 @@ def doc_type_classify(spark, root):
 
 
 def features_text(spark, root):
-    return _results(spark, root).select("id", *[F.round(c, 9).alias(k) for k, c in X.text_features(F.col("text")).items()])
+    return spread(_results(spark, root)).select("id", *[F.round(c, 9).alias(k) for k, c in X.text_features(F.col("text")).items()])
 
 
 def features_pattern(spark, root):
     kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
-    rows = _results(spark, root).withColumn("kind", F.try_element_at(kinds, F.col("category")))
+    rows = spread(_results(spark, root)).withColumn("kind", F.try_element_at(kinds, F.col("category")))
     return rows.select("id", *[F.round(c, 9).alias(k) for k, c in X.pattern_features(F.col("text"), F.col("kind")).items()])
 
 

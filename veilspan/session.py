@@ -52,3 +52,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
             writer = writer.option(f"parquet.enable.dictionary#{f.name}", "false")
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is all computing: an input in fewer splits than there are cores is dealt out; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
