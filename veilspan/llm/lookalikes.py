@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.session import spread
+
 #: Texts of these characters alone are in their consistent form.
 ORDINARY = r"^[\t\n\r\x20-\x7E]*$"
 #: Most different code points that a corpus can have.
@@ -234,4 +236,4 @@ def consistent_forms(df: DataFrame, key: Column, text: str, former: Former) -> D
             off = (form != f["text"]) | form.map(mixed)
             yield f.assign(form=form)[off]
 
-    return odd.mapInPandas(run, "record_key string, text string, form string")
+    return spread(odd).mapInPandas(run, "record_key string, text string, form string")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from veilspan.llm.lookalikes import Former
 from veilspan.llm.tagger import load, spans, tag
+from veilspan.session import spread
 
 #: Texts that are decoded together.
 TOGETHER = 4_000
@@ -127,4 +128,4 @@ def find_personal(df: DataFrame, key: Column, *fields: str, weights: dict | None
                 keep = np.array([bool(k) for k in kinds])
                 yield pd.DataFrame({"record_id": f["record_id"], "field_name": f["field_name"], "pii_types": kinds, "masked": out})[keep]
 
-    return texts.mapInPandas(run, "record_id bigint, field_name string, pii_types array<string>, masked string")
+    return spread(texts).mapInPandas(run, "record_id bigint, field_name string, pii_types array<string>, masked string")

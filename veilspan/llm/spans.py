@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.operators.skew import BROADCAST_ROWS
-from veilspan.session import materialize
+from veilspan.session import materialize, spread
 
 #: Characters of a span that must be found.
 SPAN = 200
@@ -169,7 +169,7 @@ def linked_firsts(docs: DataFrame, copies: DataFrame, key: str, text: str, span:
     if later.count() <= BROADCAST_ROWS:
         later = F.broadcast(later)
     own = docs.where(F.length(text) >= span).select(key, text).join(later, key, "left_anti")
-    chunks = own.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).mapInPandas(_chunk_digests(span, lead), "digest bigint, doc bigint, at int, again boolean")
+    chunks = spread(own.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))).mapInPandas(_chunk_digests(span, lead), "digest bigint, doc bigint, at int, again boolean")
     chunks = chunks.repartition("digest")
     a, b = (chunks.select("digest", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "at", "again")]) for x in "ab")
     met = a.join(b, "digest").where("doc_a < doc_b").select("doc_a", "doc_b", "at_a", (F.col("at_b") - F.col("at_a")).alias("shift"), (F.col("again_a") | F.col("again_b")).alias("again"))

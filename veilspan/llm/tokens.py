@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.session import spread
+
 #: Rank file of the tokenizer; every executor must see this path.
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the public pattern that splits text before the merges.
@@ -39,4 +41,4 @@ def token_sizes(docs: DataFrame, key: str, text: str, *keep: str, ranks: str = R
             n = [len(encode(t)) for t in f["_text"]]
             yield f.drop(columns="_text").assign(tokens=pd.Series(n, index=f.index, dtype="int64"))
 
-    return kept.mapInPandas(run, schema)
+    return spread(kept).mapInPandas(run, schema)
