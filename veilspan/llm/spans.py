@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspan.operators.skew import BROADCAST_ROWS
+from veilspan.operators.skew import BROADCAST_ROWS, split_join
 from veilspan.session import materialize, spread
 
 #: Characters of a span that must be found.
@@ -159,8 +159,9 @@ def shared_mask(a: np.ndarray, b: np.ndarray, span: int) -> np.ndarray:
 def exact_copies(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, first): every document that is a copy, and the smallest id of its text."""
     sums = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.md5(text).alias("sum"), F.length(text).alias("n"))
+    sums = materialize(sums, "sums")
     groups = sums.groupBy("sum", "n").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    return sums.join(groups, ["sum", "n"]).select("doc", "first", "n")
+    return split_join(sums, groups, ["sum", "n"]).select("doc", "first", "n")
 
 
 def linked_firsts(docs: DataFrame, copies: DataFrame, key: str, text: str, span: int = SPAN, lead: int = LEAD) -> DataFrame:
