@@ -61,6 +61,14 @@ def test_every_pair_is_found(spark, seed):
         assert share[i].shared_chars == marks.sum()
 
 
+def test_texts_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 300)
+    docs = [d for d in corpus(3, 30) if d]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {tuple(r) for r in S.expand(*S.linked(df, "doc_id", "text")).collect()}
+    assert got == {(i, j) for i in range(len(docs)) for j in range(i + 1, len(docs)) if shares(docs[i], docs[j], 200)}
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.expand(*S.linked(df, "doc_id", "text")).count() == 0 and S.shared_share(df, "doc_id", "text").count() == 0

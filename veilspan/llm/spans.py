@@ -101,40 +101,47 @@ def cuts(h: np.ndarray, usable: np.ndarray, span: int, lead: int) -> np.ndarray:
     return np.flatnonzero(usable & (keyed == _slide(least, reach, False, np.maximum)))
 
 
-def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, lengths, code points) of whole texts, about BLOCK characters at a time."""
-    ids, parts, size = [], [], 0
+def _blocks(frames: Iterator[pd.DataFrame], overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, starts, lengths, code points) of texts, about BLOCK characters at a time; a longer text comes in parts that overlap."""
+    ids, starts, parts, size = [], [], [], 0
+
+    def block():
+        return np.array(ids, dtype=np.int64), np.array(starts), np.array([len(p) for p in parts]), np.concatenate(parts)
+
     for frame in frames:
         for i, text in zip(frame.iloc[:, 0], frame.iloc[:, 1]):
-            c = code_points(text)
-            ids.append(i)
-            parts.append(c)
-            size += len(c)
-            if size >= BLOCK:
-                yield np.array(ids, dtype=np.int64), np.array([len(p) for p in parts]), np.concatenate(parts)
-                ids, parts, size = [], [], 0
+            codes = code_points(text)
+            for start in range(0, max(1, len(codes) - overlap), BLOCK):
+                ids.append(i)
+                starts.append(start)
+                parts.append(codes[start : start + BLOCK + overlap])
+                size += len(parts[-1])
+                if size >= BLOCK:
+                    yield block()
+                    ids, starts, parts, size = [], [], [], 0
     if ids:
-        yield np.array(ids, dtype=np.int64), np.array([len(p) for p in parts]), np.concatenate(parts)
+        yield block()
 
 
 def _chunk_digests(span: int, lead: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, lengths, codes in _blocks(frames):
-            starts = np.cumsum(lengths) - lengths
-            at = np.arange(len(codes)) - np.repeat(starts, lengths)
+        for ids, begins, lengths, codes in _blocks(frames, span):
+            firsts = np.cumsum(lengths) - lengths
+            inner = np.arange(len(codes)) - np.repeat(firsts, lengths)
             h = gear(codes)
-            cut = cuts(h, at >= lead - 1, span, lead)
+            cut = cuts(h, inner >= lead - 1, span, lead)
             if not len(cut):
                 continue
             d = digests(h, lead)[cut].view(np.int64)
-            doc = np.repeat(np.arange(len(ids)), lengths)[cut]
+            part = np.repeat(np.arange(len(ids)), lengths)[cut]
             # A digest that returns inside a text is kept once, marked: its neighbours tell nothing of the others.
-            order = np.lexsort((cut, d, doc))
+            order = np.lexsort((cut, d, part))
             fresh = np.ones(len(order), dtype=bool)
-            fresh[1:] = (d[order][1:] != d[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+            fresh[1:] = (d[order][1:] != d[order][:-1]) | (part[order][1:] != part[order][:-1])
             first = order[fresh]
             times = np.diff(np.append(np.flatnonzero(fresh), len(order)))
-            yield pd.DataFrame({"digest": d[first], "doc": ids[doc[first]], "at": at[cut][first].astype(np.int32), "again": times > 1})
+            at = (inner[cut] + begins[part])[first]
+            yield pd.DataFrame({"digest": d[first], "doc": ids[part[first]], "at": at.astype(np.int32), "again": times > 1})
 
     return run
 
