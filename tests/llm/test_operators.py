@@ -41,8 +41,9 @@ def corpus(seed, n=60):
     return docs + docs[:4] + ["", "x" * 500, "y" * 300 + "x" * 250, "ab" * 300, "ba" * 120, None]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_every_pair_is_found(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 200), (2, 3)])
+def test_every_pair_is_found(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(S, "HOT_DOCS", hot)
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(docs)], "doc_id long, text string, doc string")
     got = [tuple(r) for r in S.expand(*S.linked(df, "doc_id", "text")).collect()]
@@ -63,6 +64,7 @@ def test_every_pair_is_found(spark, seed):
 
 def test_texts_longer_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 300)
+    monkeypatch.setattr(S, "HOT_DOCS", 4)
     docs = [d for d in corpus(3, 30) if d]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     got = {tuple(r) for r in S.expand(*S.linked(df, "doc_id", "text")).collect()}

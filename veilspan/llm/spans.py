@@ -20,6 +20,8 @@ LEAD = 150
 GEAR = 64
 #: Characters of one gear hash that a digest relies on.
 PIECE = 32
+#: A digest in more documents than this belongs to a stock phrase.
+HOT_DOCS = 200
 #: Characters hashed at once.
 BLOCK = 400_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -134,14 +136,13 @@ def _chunk_digests(span: int, lead: int):
                 continue
             d = digests(h, lead)[cut].view(np.int64)
             part = np.repeat(np.arange(len(ids)), lengths)[cut]
-            # A digest that returns inside a text is kept once, marked: its neighbours tell nothing of the others.
+            # A digest that returns inside a text is kept once; pairs that this leaves unproven are compared in full.
             order = np.lexsort((cut, d, part))
             fresh = np.ones(len(order), dtype=bool)
             fresh[1:] = (d[order][1:] != d[order][:-1]) | (part[order][1:] != part[order][:-1])
             first = order[fresh]
-            times = np.diff(np.append(np.flatnonzero(fresh), len(order)))
             at = (inner[cut] + begins[part])[first]
-            yield pd.DataFrame({"digest": d[first], "doc": ids[part[first]], "at": at.astype(np.int32), "again": times > 1})
+            yield pd.DataFrame({"digest": d[first], "doc": ids[part[first]], "at": at.astype(np.int32)})
 
     return run
 
@@ -177,15 +178,48 @@ def linked_firsts(docs: DataFrame, copies: DataFrame, key: str, text: str, span:
     if later.count() <= BROADCAST_ROWS:
         later = F.broadcast(later)
     own = docs.where(F.length(text) >= span).select(key, text).join(later, key, "left_anti")
-    chunks = spread(own.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))).mapInPandas(_chunk_digests(span, lead), "digest bigint, doc bigint, at int, again boolean")
-    chunks = chunks.repartition("digest")
-    a, b = (chunks.select("digest", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "at", "again")]) for x in "ab")
-    met = a.join(b, "digest").where("doc_a < doc_b").select("doc_a", "doc_b", "at_a", (F.col("at_b") - F.col("at_a")).alias("shift"), (F.col("again_a") | F.col("again_b")).alias("again"))
+    own = own.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    chunks = materialize(spread(own).mapInPandas(_chunk_digests(span, lead), "digest bigint, doc bigint, at int"), "chunks")
+    shared = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot = materialize(shared.where(F.col("n") > HOT_DOCS).select("digest"), "stock")
+    known = hot.count()
+    cold = chunks.join(F.broadcast(hot) if known <= BROADCAST_ROWS else hot, "digest", "left_anti") if known else chunks
+    cold = cold.repartition("digest")
+    a, b = (cold.select("digest", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "at")]) for x in "ab")
+    met = a.join(b, "digest").where("doc_a < doc_b").select("doc_a", "doc_b", "at_a", (F.col("at_b") - F.col("at_a")).alias("shift"))
     line = Window.partitionBy("doc_a", "doc_b", "shift").orderBy("at_a")
     # Chunks on one diagonal whose characters overlap make one stretch.
     apart = F.col("at_a") - F.coalesce(F.lag("at_a").over(line), F.lit(-(10**9))) > lead
     stretch = met.withColumn("s", F.sum(apart.cast("int")).over(line)).groupBy("doc_a", "doc_b", "shift", "s").agg((F.max("at_a") - F.min("at_a") + lead).alias("n"))
-    return stretch.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg((F.max("n") >= span).alias("sure"))
+    pairs = stretch.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg((F.max("n") >= span).alias("sure"))
+    if not known:
+        return pairs
+    # A stock phrase of many documents proves nothing by itself: there the whole spans around it are compared by digest.
+    some = chunks.join(F.broadcast(hot) if known <= BROADCAST_ROWS else hot, "digest").groupBy("doc").agg(F.collect_set("digest").alias("hot"))
+    around = own.join(some, "doc").mapInPandas(_span_digests(span, lead), "digest bigint, doc bigint").repartition("digest")
+    a, b = (around.select("digest", F.col("doc").alias(x)) for x in "ab")
+    stock = a.join(b, "digest").where("a < b").select("a", "b").distinct().withColumn("sure", F.lit(True))
+    return pairs.unionByName(stock).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
+def _span_digests(span: int, lead: int):
+    """The digests of all spans around the chunks whose digests are in ``hot``, once per document."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for doc, text, hot in zip(f["doc"], f["text"], f["hot"]):
+                found = []
+                for _, _, _, codes in _blocks(iter([pd.DataFrame({"doc": [doc], "text": [text]})]), 2 * span):
+                    h = gear(codes)
+                    cut = cuts(h, np.arange(len(codes)) >= lead - 1, span, lead)
+                    cut = cut[np.isin(digests(h, lead)[cut].view(np.int64), np.asarray(hot, dtype=np.int64))]
+                    ends = np.unique((cut[:, None] + np.arange(span - lead + 1)).ravel())
+                    ends = ends[(ends >= span - 1) & (ends < len(codes))]
+                    found.append(digests(h, span)[ends].view(np.int64))
+                d = np.unique(np.concatenate(found))
+                yield pd.DataFrame({"digest": d, "doc": np.full(len(d), doc, dtype=np.int64)})
+
+    return run
 
 
 def _with_texts(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
