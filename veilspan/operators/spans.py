@@ -13,44 +13,54 @@ from veilspan.session import spread
 SPAN = "array<struct<pattern:string,category:string,ord:int,n:int,full:string,full_start:int,text:string,start:int,end:int,specificity:int>>"
 
 
-def _sum_lengths(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
+#: Marks set around matches; where a text has them, other characters stand in their place.
+OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ufffd"
 
 
 def pattern_spans(text: Column, name: str, category: str, expression: str, ignore_case: bool, ord_: int) -> Column:
     """All matches of one pattern as an array of spans, with offsets in characters.
 
-    Offsets come from the lengths of the matches and of what stands between them.
-    Of a pattern with groups the first group that took part is the text, else the match.
+    The pattern runs once: every match is marked, and offsets are the lengths of what
+    stands before the marks.  Of a pattern with groups the first group that took part is
+    the text, else the match.
     """
     p = jvm(expression, ignore_case)
-    full = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    between = F.split(text, p, -1)
     groups = re.compile(expression).groups
     score = PATTERN_SPECIFICITY.get(name, DEFAULT_SPECIFICITY)
+    marked = F.split(F.regexp_replace(text, p, f"{OPEN}$0{CLOSE}"), OPEN, -1)
 
     def spans(x: Column) -> Column:
-        def span(m: Column, i: Column) -> Column:
-            start = _sum_lengths(F.slice(x["between"], 1, i + 1)) + _sum_lengths(F.slice(x["full"], 1, i))
+        parts, ends = x["parts"], x["ends"]
+
+        def span(i: Column) -> Column:
+            m = F.substring_index(F.get(parts, i), CLOSE, 1)
+            # Every part but the first has one mark of its own.
+            start = F.get(ends, i - 1) - i + 1
             taken = F.coalesce(*[F.nullif(F.regexp_extract(m, p, g), F.lit("")) for g in range(1, groups + 1)], m) if groups else m
             at = start + F.greatest(F.instr(m, taken), F.lit(1)) - 1
             return F.struct(
-                F.lit(name).alias("pattern"), F.lit(category).alias("category"), F.lit(ord_).alias("ord"), i.cast("int").alias("n"), m.alias("full"), start.cast("int").alias("full_start"),
+                F.lit(name).alias("pattern"), F.lit(category).alias("category"), F.lit(ord_).alias("ord"), (i - 1).cast("int").alias("n"), m.alias("full"), start.cast("int").alias("full_start"),
                 taken.alias("text"), at.cast("int").alias("start"), (at + F.length(taken)).cast("int").alias("end"), F.lit(score).alias("specificity"),
             )
 
-        return F.transform(x["full"], span)
+        return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), span)).otherwise(F.array().cast(SPAN))
+
+    def ends(parts: Column) -> Column:
+        zero = F.struct(F.array().cast("array<int>").alias("all"), F.lit(0).alias("last"))
+        step = lambda a, p: F.struct(F.array_append(a["all"], a["last"] + F.length(p)).alias("all"), (a["last"] + F.length(p)).alias("last"))
+        return F.aggregate(parts, zero, step, lambda a: a["all"])
 
-    # The two arrays are bound once; inside the function they would be taken from the text again for every match.
-    parts = F.array(F.struct(full.alias("full"), between.alias("between")))
-    return F.when(text.rlike(p), F.flatten(F.transform(parts, spans))).otherwise(F.array().cast(SPAN))
+    # Bound once, step by step; inside the function the pattern would run again for every match.
+    bound = F.transform(F.array(marked), lambda m: F.struct(m.alias("parts"), ends(m).alias("ends")))
+    return F.flatten(F.transform(bound, spans))
 
 
 def find_spans(df: DataFrame, key: str, text: str, patterns: list[tuple[str, str, str, bool]] | None = None) -> DataFrame:
     """One row per match: ``key`` and the fields of the span.  A narrow scan: one pass, no join, no shuffle."""
     patterns = patterns or catalogue()
-    spans = F.concat(*[pattern_spans(F.col(text), *p, i) for i, p in enumerate(patterns)])
-    return spread(df.where(F.col(text).isNotNull()).select(key, text)).select(key, F.inline(spans))
+    spans = F.concat(*[pattern_spans(F.col("_t"), *p, i) for i, p in enumerate(patterns)])
+    plain = F.translate(text, OPEN + CLOSE, OTHER + OTHER).alias("_t")
+    return spread(df.where(F.col(text).isNotNull()).select(key, plain)).select(key, F.inline(spans))
 
 
 def category_counts(df: DataFrame, text: str, patterns: list[tuple[str, str, str, bool]], *by: str) -> DataFrame:
