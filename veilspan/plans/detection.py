@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.functions.patterns import BASE_PATTERNS
 from veilspan.operators import spans as S
+from veilspan.session import spread
 from veilspan.sources.tables import table
 
-#: Patterns whose ends are plain characters, so that other engines find the same.
+#: Patterns whose ends are plain characters, so that other engines find the same: those of the queries that have a SQL twin.
+#: The query of the same name and ``_all`` searches every pattern in force.
 PLAIN = ("date_yyyy_mm_dd", "date_yyyy_mm_dd_dots", "emails", "lithuanian_iban", "lithuanian_passport", "lithuanian_phone_compact", "lithuanian_postal_code", "lithuanian_vat_code", "lithuanian_personal_codes", "health_insurance_number")
 CHOSEN = [(n, n, BASE_PATTERNS[n], False) for n in PLAIN]
 
@@ -18,23 +22,40 @@ def _docs(spark: SparkSession, root: str, *more: str) -> DataFrame:
     return table(spark, root, "documents", "doc_id", "text", *more)
 
 
-def _spans(spark: SparkSession, root: str) -> DataFrame:
-    return S.find_spans(_docs(spark, root), "doc_id", "text", CHOSEN)
+def _spans(spark: SparkSession, root: str, patterns: list[tuple[str, str, str, bool]] | None = None) -> DataFrame:
+    """Spans of ``patterns``, else of every pattern in force."""
+    return S.find_spans(_docs(spark, root), "doc_id", "text", patterns)
 
 
 def pii_category_counts(spark, root):
     return S.category_counts(_docs(spark, root), "text", CHOSEN)
 
 
+def pii_category_counts_all(spark, root):
+    return S.category_counts(_docs(spark, root), "text", S.catalogue())
+
+
 def pii_docs_by_lang(spark, root):
     """Matches per language and category."""
     return S.category_counts(_docs(spark, root, "lang"), "text", CHOSEN, "lang")
 
 
+def pii_docs_by_lang_all(spark, root):
+    return S.category_counts(_docs(spark, root, "lang"), "text", S.catalogue(), "lang")
+
+
+def _topk(spark, root, patterns):
+    n = reduce(lambda a, b: a + b, (F.regexp_count("text", F.lit(S.jvm(p, i))) for _, _, p, i in patterns))
+    return spread(_docs(spark, root)).select("doc_id", n.cast("bigint").alias("matches")).orderBy(F.desc_nulls_last("matches"), "doc_id").limit(10)
+
+
 def pii_topk_docs(spark, root):
     """The ten documents with most matches."""
-    n = sum((F.regexp_count("text", F.lit(S.jvm(p, i))) for _, _, p, i in CHOSEN[1:]), F.regexp_count("text", F.lit(S.jvm(CHOSEN[0][2]))))
-    return _docs(spark, root).select("doc_id", n.cast("bigint").alias("matches")).orderBy(F.desc_nulls_last("matches"), "doc_id").limit(10)
+    return _topk(spark, root, CHOSEN)
+
+
+def pii_topk_docs_all(spark, root):
+    return _topk(spark, root, S.catalogue())
 
 
 def pii_catalogue_counts(spark, root):
@@ -44,14 +65,26 @@ def pii_catalogue_counts(spark, root):
 
 
 def pii_spans(spark, root):
-    return _spans(spark, root).select("doc_id", "category", "n", "text", "start", "end")
+    return _spans(spark, root, CHOSEN).select("doc_id", "category", "n", "text", "start", "end")
+
+
+def pii_spans_all(spark, root):
+    return _spans(spark, root).select("doc_id", "pattern", "category", "n", "text", "start", "end")
 
 
 def span_dedupe_sweep(spark, root):
+    return S.dedupe_sweep(_spans(spark, root, CHOSEN), "doc_id").select("doc_id", "category", "start", "end")
+
+
+def span_dedupe_sweep_all(spark, root):
     return S.dedupe_sweep(_spans(spark, root), "doc_id").select("doc_id", "category", "start", "end")
 
 
 def span_dedupe_full_match(spark, root):
+    return S.dedupe_full_match(_spans(spark, root, CHOSEN), "doc_id").select("doc_id", "category", "full_start", "full_end")
+
+
+def span_dedupe_full_match_all(spark, root):
     return S.dedupe_full_match(_spans(spark, root), "doc_id").select("doc_id", "category", "full_start", "full_end")
 
 
@@ -92,7 +125,10 @@ def redaction_report(spark, root):
     return kept.groupBy("doc_id").agg(F.sum("n").alias("total"), F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n"))))).alias("by_category"))
 
 
-NAMES = ("pii_category_counts", "pii_docs_by_lang", "pii_topk_docs", "pii_catalogue_counts", "pii_spans", "span_dedupe_sweep", "span_dedupe_full_match", "span_dedupe_longest", "text_dedupe_specificity", "confidence_levels", "redacted_text_email", "redacted_words", "redacted_overlay", "redaction_report")
+NAMES = (
+    "pii_category_counts", "pii_docs_by_lang", "pii_topk_docs", "pii_catalogue_counts", "pii_spans", "span_dedupe_sweep", "span_dedupe_full_match", "span_dedupe_longest", "text_dedupe_specificity", "confidence_levels", "redacted_text_email", "redacted_words", "redacted_overlay", "redaction_report",
+    "pii_category_counts_all", "pii_docs_by_lang_all", "pii_topk_docs_all", "pii_spans_all", "span_dedupe_sweep_all", "span_dedupe_full_match_all",
+)
 QUERIES = {n: globals()[n] for n in NAMES}
 
 

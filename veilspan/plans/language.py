@@ -8,7 +8,7 @@ from veilspan.functions.patterns import catalogue
 from veilspan.functions.text import core_place, entity_category
 from veilspan.operators import language as L
 from veilspan.operators import spans as S
-from veilspan.plans.detection import _SPANS, _spans
+from veilspan.plans.detection import _SPANS, CHOSEN, _spans
 from veilspan.sources.tables import table
 
 #: Cities that begin and end with plain letters, so that other engines find the same word ends.
@@ -33,14 +33,24 @@ def place_names(spark, root):
     return rows.select("id", core_place(F.col("text")).alias("place"), entity_category(F.lit("GPE")).alias("category"))
 
 
-def overlapping_spans(spark, root):
-    """Pairs of categories whose spans overlap in a document, by the classes of equal 64-character cells."""
-    rows = _spans(spark, root).select("doc_id", "category", "ord", "n", "start", "end")
+def _overlaps(rows):
+    """Pairs of spans that overlap in a document, by the classes of equal 64-character cells."""
+    rows = rows.select("doc_id", "category", "ord", "n", "start", "end")
     cells = rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / 64), F.floor((F.col("end") - 1) / 64))))
     a, b = (cells.select("doc_id", "cell", *[F.col(c).alias(f"{c}_{x}") for c in ("category", "ord", "n", "start", "end")]) for x in "ab")
     met = a.join(b, ["doc_id", "cell"]).where("ord_a < ord_b and start_a < end_b and start_b < end_a")
-    once = met.where("cell = floor(greatest(start_a, start_b) / 64)")
-    return once.groupBy("category_a", "category_b").agg(F.count(F.lit(1)).alias("pairs"))
+    return met.where("cell = floor(greatest(start_a, start_b) / 64)")
+
+
+def overlapping_spans(spark, root):
+    """Pairs of categories whose spans overlap in a document."""
+    return _overlaps(_spans(spark, root, CHOSEN)).groupBy("category_a", "category_b").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def overlapping_spans_all(spark, root):
+    """The same of every pattern in force; patterns share categories, so a pair is named in order of the alphabet."""
+    pair = F.least("category_a", "category_b").alias("category_a"), F.greatest("category_a", "category_b").alias("category_b")
+    return _overlaps(_spans(spark, root)).groupBy(*pair).agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def keyword_adjusted_confidence(spark, root):
@@ -104,7 +114,7 @@ def improvement_suggestions(spark, root):
 
 
 NAMES = (
-    "salutation_names", "city_scan", "place_names", "overlapping_spans", "keyword_adjusted_confidence", "final_detections", "language_scores", "swift_lt", "pattern_domains", "detections_to_examples", "synthetic_examples", "improvement_suggestions",
+    "salutation_names", "city_scan", "place_names", "overlapping_spans", "overlapping_spans_all", "keyword_adjusted_confidence", "final_detections", "language_scores", "swift_lt", "pattern_domains", "detections_to_examples", "synthetic_examples", "improvement_suggestions",
 )
 QUERIES = {n: globals()[n] for n in NAMES}
 _C = "|".join(c.lower() for c in PLAIN_CITIES)
