@@ -87,3 +87,9 @@ def test_keywords(spark, root):
     for r in QUERIES["keyword_adjusted_confidence"](spark, root).collect():
         got[r.category] += r.n
     assert got == Counter(r[2] for r in found())
+
+
+def test_all_cities(spark, tmp_path):
+    texts = [("Šiauliai, PANEVĖŽYS; Telšiai Telšiai xUtena Klaipėdą",), ("marijampolė_ Marijampolė",), (None,)]
+    spark.createDataFrame(texts, "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.city: r.n for r in QUERIES["city_scan_all"](spark, str(tmp_path)).collect()} == {"šiauliai": 1, "panevėžys": 1, "telšiai": 2, "marijampolė": 1}

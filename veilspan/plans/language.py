@@ -11,7 +11,7 @@ from veilspan.operators import spans as S
 from veilspan.plans.detection import _SPANS, CHOSEN, _spans
 from veilspan.sources.tables import table
 
-#: Cities that begin and end with plain letters, so that other engines find the same word ends.
+#: The cities of ``city_scan`` and its SQL twin; ``city_scan_all`` counts all of them.
 PLAIN_CITIES = ("Vilnius", "Kaunas", "Alytus", "Jonava", "Utena", "Visaginas", "Palanga")
 # Parts of synthetic examples.
 FIRST = ("Jonas", "Petras", "Antanas", "Vytautas", "Mindaugas")
@@ -27,6 +27,10 @@ def city_scan(spark, root):
     return L.city_counts(table(spark, root, "documents", "text"), "text", PLAIN_CITIES)
 
 
+def city_scan_all(spark, root):
+    return L.city_counts(table(spark, root, "documents", "text"), "text")
+
+
 def place_names(spark, root):
     """Detected places without their endings."""
     rows = table(spark, root, "detection_results", "id", "category", "text").where("category = 'locations' and text is not null")
@@ -114,11 +118,13 @@ def improvement_suggestions(spark, root):
 
 
 NAMES = (
-    "salutation_names", "city_scan", "place_names", "overlapping_spans", "overlapping_spans_all", "keyword_adjusted_confidence", "final_detections", "language_scores", "swift_lt", "pattern_domains", "detections_to_examples", "synthetic_examples", "improvement_suggestions",
+    "salutation_names", "city_scan", "city_scan_all", "place_names", "overlapping_spans", "overlapping_spans_all", "keyword_adjusted_confidence", "final_detections", "language_scores", "swift_lt", "pattern_domains", "detections_to_examples", "synthetic_examples", "improvement_suggestions",
 )
 QUERIES = {n: globals()[n] for n in NAMES}
 _C = "|".join(c.lower() for c in PLAIN_CITIES)
+_ALL = "|".join(c.lower() for c in sorted(L.CITIES, key=len, reverse=True))
 ORACLE = {
+    "city_scan_all": f"SELECT trim(c, ' ') AS city, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]', '  ', 'g') || ' ', '(?:^| )(?:{_ALL}) ')) AS c FROM documents WHERE text IS NOT NULL) GROUP BY ALL",
     "city_scan": f"SELECT trim(c, ' ') AS city, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]', '  ', 'g') || ' ', '(?:^| )(?:{_C}) ')) AS c FROM documents WHERE text IS NOT NULL) GROUP BY ALL",
     "place_names": r"SELECT id, regexp_replace(regexp_replace(regexp_replace(text, '( mieste| miestas| rajone| rajonas| apskrityje| apskritis| seniūnijoje| seniūnija)$', ''), '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '') AS place, 'locations' AS category FROM detection_results WHERE category = 'locations' AND text IS NOT NULL",
     "overlapping_spans": f"WITH RECURSIVE {_SPANS} SELECT a.category AS category_a, b.category AS category_b, count(*) AS pairs FROM sp a JOIN sp b ON a.doc_id = b.doc_id AND a.ord < b.ord AND a.start_ < b.end_ AND b.start_ < a.end_ GROUP BY ALL",
