@@ -93,3 +93,13 @@ def test_all_cities(spark, tmp_path):
     texts = [("Šiauliai, PANEVĖŽYS; Telšiai Telšiai xUtena Klaipėdą",), ("marijampolė_ Marijampolė",), (None,)]
     spark.createDataFrame(texts, "text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.city: r.n for r in QUERIES["city_scan_all"](spark, str(tmp_path)).collect()} == {"šiauliai": 1, "panevėžys": 1, "telšiai": 2, "marijampolė": 1}
+
+
+def test_candidates_of_any_length(spark, tmp_path):
+    long = "Labai ilgas tekstas " * 4 + "pabaiga"
+    rows = [("Ona", "Ona ir Jonas", True), (long, f"čia {long}, Jonas", True), (None, "Jonas be nieko", True), ("", "Jonas", True), ("Jonas", None, True)]
+    spark.createDataFrame(rows, "detection_text string, context string, is_true_positive boolean").write.parquet(f"{tmp_path}/training_examples.parquet")
+    spark.createDataFrame([("Jonas, Jonas",)], "text_segment string").write.parquet(f"{tmp_path}/user_feedback.parquet")
+    got = {r.phrase: (r.hits, r.texts) for r in QUERIES["learn_candidates"](spark, str(tmp_path)).collect()}
+    assert got == {"Ona": (1, 1), long: (1, 1), "Jonas": (6, 5)}
+    assert {r.phrase: r.positive_matches for r in QUERIES["pattern_precision"](spark, str(tmp_path)).collect()} == {"Ona": 1, long: 1, "Jonas": 6}

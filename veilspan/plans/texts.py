@@ -87,7 +87,7 @@ def context_scores(spark, root):
 
 def learn_candidates(spark, root):
     """Stored detections that occur as whole words in the contexts of all examples and in the feedback."""
-    examples = table(spark, root, "training_examples", "detection_text", "context").where("length(detection_text) between 4 and 60")
+    examples = table(spark, root, "training_examples", "detection_text", "context")
     corpus = examples.select(F.col("context").alias("text")).unionByName(table(spark, root, "user_feedback", "text_segment").select(F.col("text_segment").alias("text")))
     return phrase_hits(corpus, "text", examples, "detection_text")
 
