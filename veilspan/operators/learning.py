@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from re import _casefix, _constants, _parser
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions.patterns import DEFAULT_SPECIFICITY
+from veilspan.session import spread
+
 #: A learned pattern is kept at this precision or above.
 LEAST_PRECISION = 0.95
+#: Learned expressions that are searched together in one pass over the texts.
+BLOCK = 20_000
+FOUND = "pattern string, category string, ord int, n int, full string, full_start int, text string, start int, end int, specificity int, confidence double"
 WORD = r"(?U)[\p{L}\p{N}_]+"
 
 
@@ -38,3 +50,106 @@ def learned(hits: DataFrame, truth: DataFrame, phrase: str, least: int = 1) -> D
     out = hits.join(known, "phrase", "left").withColumns({"positive_matches": F.when(F.col("known"), F.col("hits")).otherwise(0), "negative_matches": F.when(F.col("known"), 0).otherwise(F.col("hits"))})
     precision = F.col("positive_matches") / (F.col("positive_matches") + F.col("negative_matches"))
     return out.withColumn("precision", precision).where((F.col("precision") >= LEAST_PRECISION) & (F.col("positive_matches") >= least)).select("phrase", "positive_matches", "negative_matches", "precision")
+
+
+class _Folded(dict):
+    """Code points by one of those that are equal to them where case is ignored; lengths stay."""
+
+    def __missing__(self, c: int) -> int:
+        low = ord(x) if len(x := chr(c).lower()) == 1 else 0x69 if c == 0x130 else c
+        self[c] = min(low, *_casefix._EXTRA_CASES.get(low, (low,)))
+        return self[c]
+
+
+def needed(expression: str) -> str:
+    """The longest run of characters that every match holds, empty if none is known."""
+    best, run = "", []
+
+    def cut() -> None:
+        nonlocal best
+        best = max(best, "".join(run), key=len)
+        run.clear()
+
+    def walk(parsed) -> None:
+        for op, av in parsed:
+            if op is _constants.LITERAL:
+                run.append(chr(av))
+            elif op is _constants.SUBPATTERN:
+                walk(av[3])
+            elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT, _constants.POSSESSIVE_REPEAT):
+                cut()
+                if av[0]:
+                    walk(av[2])
+                cut()
+            elif op not in (_constants.AT, _constants.ASSERT, _constants.ASSERT_NOT):  # those take no characters
+                cut()
+
+    walk(_parser.parse(expression))
+    cut()
+    return best
+
+
+class Searcher:
+    """Matches of many expressions in a text; an expression is tried only where the text holds the characters it needs."""
+
+    def __init__(self, expressions: list[str]):
+        self.compiled: dict[int, re.Pattern] = {}
+        self.always: list[int] = []
+        self.folded = _Folded()
+        by: dict[str, list[int]] = {}
+        for k, x in enumerate(expressions):
+            try:
+                self.compiled[k] = re.compile(x)
+            except (re.error, OverflowError, RecursionError):  # no expression, so it finds nothing
+                continue
+            if word := needed(x).translate(self.folded):
+                by.setdefault(word, []).append(k)
+            else:
+                self.always.append(k)
+        self.automaton = ahocorasick.Automaton()
+        for word, ks in by.items():
+            self.automaton.add_word(word, ks)
+        if by:
+            self.automaton.make_automaton()
+
+    def found(self, text: str) -> Iterator[tuple[int, int, re.Match]]:
+        tried = set(self.always)
+        if len(self.automaton):
+            for _, ks in self.automaton.iter(text.translate(self.folded)):
+                tried.update(ks)
+        for k in sorted(tried):
+            for n, m in enumerate(self.compiled[k].finditer(text)):
+                if m.end() > m.start():
+                    yield k, n, m
+
+
+def learned_spans(df: DataFrame, key: str, text: str, patterns: DataFrame, first: int = 0) -> DataFrame:
+    """One row per match of the active learned patterns, as ``find_spans`` has them, with each pattern's own confidence.
+
+    Patterns (``pattern_id, regex, pii_category, confidence, is_active``) are taken surest first and numbered from
+    ``first``; the whole match is the text.  Texts are searched once for every BLOCK of patterns.  What is no
+    valid expression finds nothing; without a category it is ``unknown``, without a confidence 0.
+    """
+    sure = F.coalesce(F.nanvl("confidence", F.lit(0.0)), F.lit(0.0)).alias("confidence")
+    active = patterns.where("is_active and regex is not null").select(F.coalesce("pattern_id", F.lit("")).alias("pattern_id"), "regex", F.coalesce("pii_category", F.lit("unknown")).alias("category"), sure)
+    rows = sorted((tuple(r) for r in active.collect()), key=lambda r: (-r[3], r[0], r[1], r[2]))
+    texts = spread(df.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_t")))
+    kind = df.schema[key].dataType.simpleString()
+
+    def search(block: list[tuple[str, str, str, float]], at: int):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            searcher = Searcher([r[1] for r in block])
+            for f in frames:
+                out = [
+                    (d, block[k][0], block[k][2], at + k, n, m.group(), m.start(), m.group(), m.start(), m.end(), DEFAULT_SPECIFICITY, block[k][3])
+                    for d, t in zip(f[key], f["_t"])
+                    for k, n, m in searcher.found(t)
+                ]
+                yield pd.DataFrame(out, columns=[key, *[c.split()[0] for c in FOUND.split(", ")]])
+
+        return texts.mapInPandas(run, f"`{key}` {kind}, {FOUND}")
+
+    out = search(rows[:BLOCK], first)
+    for at in range(BLOCK, len(rows), BLOCK):
+        out = out.unionByName(search(rows[at : at + BLOCK], first + at))
+    return out

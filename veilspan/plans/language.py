@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilspan.functions.patterns import catalogue
+from veilspan.functions.terms import DOCUMENT_TERMS
 from veilspan.functions.text import core_place, entity_category
 from veilspan.operators import language as L
 from veilspan.operators import spans as S
+from veilspan.operators.learning import learned_spans
 from veilspan.plans.detection import _SPANS, CHOSEN, _spans
 from veilspan.sources.tables import table
 
@@ -66,11 +68,16 @@ def keyword_adjusted_confidence(spark, root):
 
 
 def final_detections(spark, root):
-    """The whole chain: every pattern in force, resolved by full match, then longest first, at least 0.8 sure, as a map of category to texts."""
-    found = S.find_spans(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text", catalogue())
-    single = S.dedupe_full_match(found, "doc_id")
+    """Every pattern in force, resolved by full match and at least 0.8 sure, with the active learned patterns as sure as they are; of all the longest first, as a map of category to texts.
+
+    Document terms that are only somewhat sure are no detections.  Named entities are left out.
+    """
+    docs, patterns = table(spark, root, "documents", "doc_id", "text"), catalogue()
+    single = S.dedupe_full_match(S.find_spans(docs, "doc_id", "text", patterns), "doc_id")
     sure = single.withColumn("confidence", F.greatest(F.lit(0.8), S.base_confidence(F.col("specificity")))).drop("full_end")
-    kept = S.dedupe_longest(sure, "doc_id")
+    sure = sure.unionByName(learned_spans(docs, "doc_id", "text", table(spark, root, "adaptive_patterns"), len(patterns)))
+    term = F.lower("text").isin(list(DOCUMENT_TERMS)) & S.confidence_level(F.col("confidence")).isin("LOW", "MEDIUM")
+    kept = S.dedupe_longest(sure.where(~term), "doc_id")
     tag = F.format_string("CONTEXT_%.2f", "confidence")
     by = kept.groupBy("doc_id", "category").agg(F.sort_array(F.collect_list(F.struct("start", "text", tag.alias("tag")))).alias("found"))
     return by.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", F.transform("found", lambda x: F.struct(x["text"].alias("text"), x["tag"].alias("tag")))))))).alias("detections"))
