@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import unicodedata as ud
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veilspan.session import spread
 
 #: Texts of these characters alone are in their consistent form.
-ORDINARY = r"^[\t\n\r\x20-\x7E]*$"
+ORDINARY = r"^[\t\n\r\x20-\x7E]*\z"
 #: Most different code points that a corpus can have.
 MOST_CODE_POINTS = 1_114_112
 #: Compatibility forms that are the same letter, digit, sign or space in another dress.
@@ -212,10 +212,15 @@ def mixed(text: str) -> bool:
 
 
 def code_point_counts(df: DataFrame, *columns: str) -> dict[str, int]:
-    """How often each code point occurs in all texts of the columns that are not of ORDINARY characters alone; at most as many entries as Unicode has."""
-    texts = F.explode(F.array(*[F.col(c) for c in columns]))
-    odd = df.select(texts.alias("t")).where(F.col("t").isNotNull() & ~F.col("t").rlike(ORDINARY))
-    counts = odd.select(F.explode(F.split("t", "")).alias("c")).where("c != ''").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    """How often each code point occurs in all texts of the columns, counted by batch before anything moves; at most as many entries as Unicode has."""
+    texts = df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("t")).where("t is not null")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if seen := Counter("".join(f["t"])):
+                yield pd.DataFrame({"c": list(seen), "n": list(seen.values())})
+
+    counts = spread(texts).mapInPandas(run, "c string, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
     return {r.c: r.n for r in counts.limit(MOST_CODE_POINTS).collect()}
 
 
