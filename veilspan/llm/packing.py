@@ -20,7 +20,9 @@ ISLANDS = 2
 #: Times that the islands evolve and send their best on.
 EPOCHS = 2
 POPULATION = 4
-GENERATIONS = 4
+#: Most generations of an epoch, and how many without any gain end it sooner.
+GENERATIONS = 60
+PATIENCE = 8
 #: Containers filled to this share are handed on whole.
 WELL_FILLED = 0.995
 
@@ -84,7 +86,7 @@ def _labels_of(bins: Bins, n: int) -> np.ndarray:
 
 
 def evolve(sizes: list[int], capacity: int, population: list[Bins], seed: int) -> list[Bins]:
-    """The population after GENERATIONS, best first; started anew where it has too few members."""
+    """The population after PATIENCE generations without gain, GENERATIONS at most, best first; started anew where it has too few members."""
     rng = np.random.default_rng(seed)
     while len(population) < POPULATION:
         noise = 0.0 if not population else 0.05 * len(population)
@@ -93,15 +95,18 @@ def evolve(sizes: list[int], capacity: int, population: list[Bins], seed: int) -
     scored = sorted(((fitness(p, sizes, capacity), k, p) for k, p in enumerate(population)), key=lambda x: (-x[0], x[1]))[:POPULATION]
     least = -(-sum(sizes) // capacity)
     serial = len(scored)
+    idle = 0
     for _ in range(GENERATIONS):
-        if len(scored[0][2]) <= least:  # no packing has fewer containers
+        if idle == PATIENCE or len(scored[0][2]) <= least:  # no packing has fewer containers
             break
+        best = scored[0][0]
         for _ in range(POPULATION // 2):
             i, j = rng.choice(len(scored), 2, replace=False)
             child = crossover(scored[i][2], scored[j][2], sizes, capacity, rng)
             scored.append((fitness(child, sizes, capacity), serial, child))
             serial += 1
         scored = sorted(scored, key=lambda x: (-x[0], x[1]))[:POPULATION]
+        idle = 0 if scored[0][0] > best else idle + 1
     return [p for _, _, p in scored]
 
 
