@@ -103,3 +103,10 @@ def test_candidates_of_any_length(spark, tmp_path):
     got = {r.phrase: (r.hits, r.texts) for r in QUERIES["learn_candidates"](spark, str(tmp_path)).collect()}
     assert got == {"Ona": (1, 1), long: (1, 1), "Jonas": (6, 5)}
     assert {r.phrase: r.positive_matches for r in QUERIES["pattern_precision"](spark, str(tmp_path)).collect()} == {"Ona": 1, long: 1, "Jonas": 6}
+
+
+def test_one_hour(spark, tmp_path):
+    rows = [(i, float(i * 10), "a", float(i % 7)) for i in range(800)]
+    spark.createDataFrame(rows, "id bigint, ts double, event_name string, duration double").write.parquet(f"{tmp_path}/performance_metrics.parquet")
+    got = {r.id: (r.n, r.high) for r in QUERIES["rolling_stats_1hour"](spark, str(tmp_path)).collect()}
+    assert got == {i: (min(i + 1, 361), float(max(x % 7 for x in range(max(0, i - 360), i + 1)))) for i in range(800)}

@@ -72,6 +72,10 @@ def rolling_stats_5min(spark, root):
     return _rolled(spark, root, 300, 300)
 
 
+def rolling_stats_1hour(spark, root):
+    return _rolled(spark, root, 3600, 3600)
+
+
 def threshold_alerts(spark, root):
     limits = spark.createDataFrame(THRESHOLDS, "metric string, min_value double, max_value double, change_threshold double, sample_size int")
     return M.threshold_alerts(_series(spark, root), limits)
@@ -110,7 +114,7 @@ def retention_by_month(spark, root):
     return rows.join(F.broadcast(edge)).groupBy(F.date_format(F.timestamp_seconds("ts"), "yyyy-MM").alias("month"), F.coalesce(F.col("ts") < F.col("edge"), F.lit(False)).alias("expired")).agg(F.count(F.lit(1)).alias("events"))
 
 
-NAMES = ("events_latest_100", "events_page", "event_summary", "op_stats", "json_details", "zscore_anomalies", "range_outliers", "trend_half_split", "rolling_stats_1min", "rolling_stats_5min", "threshold_alerts", "anomaly_rollup", "anomaly_top5", "system_health", "daily_trend", "retention_by_month")
+NAMES = ("events_latest_100", "events_page", "event_summary", "op_stats", "json_details", "zscore_anomalies", "range_outliers", "trend_half_split", "rolling_stats_1min", "rolling_stats_5min", "rolling_stats_1hour", "threshold_alerts", "anomaly_rollup", "anomaly_top5", "system_health", "daily_trend", "retention_by_month")
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _S = "s AS (SELECT event_name AS metric, ts, id, duration AS value FROM performance_metrics WHERE isfinite(duration) AND event_name IS NOT NULL)"
@@ -144,6 +148,7 @@ g AS (SELECT metric, any_value(n) AS points, avg(value) FILTER (r <= ceil(n / 2.
 SELECT metric, points, CASE WHEN points < 10 THEN 'insufficient' WHEN l - e > 0.5 * std THEN 'increasing' WHEN l - e < -0.5 * std THEN 'decreasing' ELSE 'stable' END AS direction FROM g""",
     "rolling_stats_1min": _rolling_sql(60, 60),
     "rolling_stats_5min": _rolling_sql(300, 300),
+    "rolling_stats_1hour": _rolling_sql(3600, 3600),
     "threshold_alerts": f"""WITH {_S}, t(metric, lo, hi, ch, k) AS (VALUES {_T}), p AS (
   SELECT *, lag(value) OVER (PARTITION BY metric ORDER BY ts, id) AS prev, row_number() OVER (PARTITION BY metric ORDER BY ts, id) AS rn FROM s
 ), a AS (SELECT p.*, t.lo, t.hi, t.ch, CASE WHEN rn < k THEN NULL WHEN value < lo THEN 'min' WHEN value > hi THEN 'max' WHEN prev <> 0 AND abs(value - prev) / abs(prev) > ch THEN 'change' END AS kind FROM p JOIN t USING (metric)),
