@@ -43,3 +43,20 @@ def test_stream_anomalies_equal_batch(spark, data):
 def test_sessions(spark, data):
     stream = monitor.sessions(monitor.metric_stream(monitor.stream_table(spark, data, "performance_metrics")))
     assert monitor.run_available(stream, mode="append").count() >= 0
+
+
+@pytest.mark.parametrize("chunk_rows", [200_000, 1000, 13])
+def test_alerts_need_samples_of_the_whole_series(spark, chunk_rows, monkeypatch):
+    monkeypatch.setattr(M.chunked, "__defaults__", (0, 0.0, chunk_rows))
+    rows = [("a", float(i // 2), i, 5.0) for i in range(3000)] + [("b", float(i), 10_000 + i, 5.0) for i in range(40)]
+    limits = spark.createDataFrame([("a", 1.0, 4.0, 0.5, 500), ("b", 1.0, 4.0, 0.5, 30)], "metric string, min_value double, max_value double, change_threshold double, sample_size int")
+    got = [r.id for r in M.threshold_alerts(spark.createDataFrame(rows, SCHEMA), limits).collect()]
+    assert sorted(got) == [*range(499, 3000), *range(10_029, 10_040)]
+
+
+def test_any_number_of_cuts(spark):
+    rows = [("a", float(i), i, 1.0) for i in range(2000)] + [("b", 0.0, 5000, 1.0)]
+    placed = M.chunked(spark.createDataFrame(rows, SCHEMA), chunk_rows=5).collect()
+    assert max(r.chunk for r in placed) > 300 and len(placed) == 2001
+    order = [r.chunk for r in sorted(placed, key=lambda r: r.id) if r.metric == "a"]
+    assert order == sorted(order) and max(order.count(c) for c in set(order)) < 30

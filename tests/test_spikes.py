@@ -3,8 +3,11 @@ import random
 from statistics import median
 
 import pytest
+from pyspark.sql import functions as F
 
+from veilspan.operators import orderstats, spikes
 from veilspan.operators.orderstats import exact_medians
+from veilspan.operators.phase import ordered_pass
 from veilspan.operators.spikes import MEASURES, confirmed, flag_faults
 
 SCHEMA = "id bigint, ts double, event_name string, duration double, cpu_percent double, memory_mb double, src string"
@@ -43,21 +46,41 @@ def rows(n, seed):
     return out
 
 
-@pytest.mark.parametrize("chunk_rows", [200_000, 60])
-def test_against_brute_force(spark, chunk_rows):
+@pytest.mark.parametrize("block_rows", [500_000, 37])
+def test_against_brute_force(spark, block_rows):
     data = rows(900, 3)
     df = spark.createDataFrame(data, SCHEMA)
-    got = confirmed(flag_faults(df, "event_name", "ts", "id", chunk_rows=chunk_rows)).collect()
+    got = confirmed(flag_faults(df, "event_name", "ts", "id", block_rows=block_rows)).collect()
     assert {(r.id, r.measure_name) for r in got} == brute(data)
     assert len(got) == len({(r.id, r.measure_name) for r in got})
 
 
-def test_stuck_run_over_many_cuts(spark):
-    data = [(i, float(i), "a", 1.0 + (i % 7) / 10 if not 100 <= i < 700 else 1.05, None, None, "x") for i in range(800)]
-    got = confirmed(flag_faults(spark.createDataFrame(data, SCHEMA), "event_name", "ts", "id", chunk_rows=20)).collect()
+@pytest.mark.parametrize("block_rows", [500_000, 1, 2, 7, 20])
+def test_stuck_run_over_many_cuts(spark, block_rows):
+    data = [(i, float(i), "a" if i < 720 else "b", 1.0 + (i % 7) / 10 if not 100 <= i < 700 else 1.05, None, 5.0 if i in (3, 9) or i > 790 else None, "x") for i in range(800)]
+    got = confirmed(flag_faults(spark.createDataFrame(data, SCHEMA), "event_name", "ts", "id", block_rows=block_rows)).collect()
     assert {r.id for r in got if r.fault == "stuck"} == set(range(100, 700))
 
 
+@pytest.mark.parametrize("block_rows", [500_000, 1, 3, 50])
+def test_differences_over_cuts(spark, block_rows):
+    data = rows(400, 5)
+    got = {r.id: r for r in ordered_pass(spark.createDataFrame(data, SCHEMA), "event_name", "ts", "id", MEASURES, 10, block_rows).collect()}
+    assert len(got) == len(data)
+    for k, m in enumerate(MEASURES):
+        for source in {r[2] for r in data}:
+            own = sorted((r[1], r[0], r[3 + k]) for r in data if r[2] == source and r[3 + k] is not None)
+            xs = [(i, math.log(v) if m.ratio else v) for _, i, v in own if math.isfinite(v) and m.low <= v <= m.high and v > 0]
+            want = {i: None for _, i, _ in own}, {i: None for _, i, _ in own}
+            for j, (i, x) in enumerate(xs):
+                want[0][i] = x - xs[j - 1][1] if j else None
+                want[1][i] = x - 2 * xs[j - 1][1] + xs[j - 2][1] if j > 1 else None
+            for name, w in zip("de", want):
+                for i, x in w.items():
+                    v = getattr(got[i], f"{name}{k}")
+                    assert (v is None) == (x is None) and (x is None or abs(v - x) < 1e-4 * max(1, abs(x))), (block_rows, m.name, i, v, x)
+
+
 def test_nothing_and_nulls(spark):
     assert flag_faults(spark.createDataFrame([], SCHEMA), "event_name", "ts", "id").count() == 0
     assert flag_faults(spark.createDataFrame([(1, 1.0, None, None, None, None, "x")], SCHEMA), "event_name", "ts", "id").count() == 0
@@ -71,11 +94,41 @@ def test_ellipsoids_flag_before_the_check(spark):
     assert [m.name for m in MEASURES] == ["duration", "cpu_percent", "memory_mb"]
 
 
+def slow_wave(jumps):
+    """Values that swing widely but slowly, with jumps that stay well within the swing."""
+    rng = random.Random(7)
+    wave = [50 + 30 * math.sin(i / 200) + rng.gauss(0, 0.1) for i in range(2000)]
+    return [(i, float(i), "a", None, w + (12 if i in jumps else 0), None, "x") for i, w in enumerate(wave)]
+
+
+def test_differences_flag_what_values_do_not(spark, monkeypatch):
+    jumps = {601, 1250}
+    df = spark.createDataFrame(slow_wave(jumps), SCHEMA)
+    found = {r.id for r in flag_faults(df, "event_name", "ts", "id").collect()}
+    assert jumps <= found <= jumps | {i + k for i in jumps for k in (1, 2)}
+    whole = spikes.ordered_pass
+    monkeypatch.setattr(spikes, "ordered_pass", lambda *a: whole(*a).withColumns({f"{c}{k}": F.lit(0.0) for c in "de" for k in range(3)}))
+    assert flag_faults(df, "event_name", "ts", "id").count() == 0
+
+
+def test_later_passes_flag_more_and_keep_the_rest(spark):
+    rng = random.Random(4)
+    # Bursts of great spikes widen the first scales of the differences, so that small ones show only without them.
+    data = [(i, float(i), "a", None, 50 + rng.gauss(0, 1) + (40 if i % 3 == 0 and i < 1200 else 11 if i == 1900 else 0), None, "x") for i in range(2400)]
+    df = spark.createDataFrame(data, SCHEMA)
+    one, all_ = ({r.id for r in flag_faults(df, "event_name", "ts", "id", iterations=n).collect()} for n in (1, 4))
+    assert one < all_
+
+
+@pytest.mark.parametrize("near", [100_000, 3])
 @pytest.mark.parametrize("n", [1, 2, 9, 40_001])
-def test_exact_medians(spark, n):
+def test_exact_medians(spark, n, near, monkeypatch):
+    monkeypatch.setattr(orderstats, "NEAR", near)
     rng = random.Random(n)
     values = [round(rng.gauss(0, 1), 3) for _ in range(n)]
-    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    narrow = [1e6 + v / 1e6 for v in values]
+    df = spark.createDataFrame([(g, v) for g, vs in (("g", values), ("narrow", narrow), ("same", [7.0] * n), ("far", [-1e308, 1e308, float("inf")])) for v in vs], "g string, v double")
     out, groups = exact_medians(df, ["g"], "v")
-    r = out.collect()[0]
-    assert groups == 1 and r.n == n and abs(r.median - median(values)) < 1e-12
+    got = {r.g: r for r in out.collect()}
+    assert groups == len(got) == 4 and got["g"].n == n and abs(got["g"].median - median(values)) < 1e-12
+    assert abs(got["narrow"].median - median(narrow)) < 1e-9 and got["same"].median == 7.0 and got["far"].median == 1e308

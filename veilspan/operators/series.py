@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.operators.skew import join_small
-from veilspan.operators.spikes import CHUNK_ROWS, _chunks
+from veilspan.session import materialize
+
+#: Points of one metric in a chunk; a larger metric is cut by time into as many as it takes.
+CHUNK_ROWS = 200_000
+#: Cuts that are looked through one by one.
+STRIDE = 64
 
 # Standard deviations of each sensitivity, and the severity ladder.
 SENSITIVITY = {"low": 3.0, "medium": 2.5, "high": 2.0, "very_high": 1.5}
@@ -14,6 +19,28 @@ SEVERITY = ((4.0, "critical"), (3.0, "high"), (2.5, "medium"))
 HISTORY, LEAST = 100, 10
 
 
+def _cuts(series: DataFrame, chunk_rows: int) -> tuple[DataFrame, int]:
+    """(metric, cuts) of the metrics with more than ``chunk_rows`` points, and how many those are."""
+    most = series.groupBy("metric").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk_rows)
+    sizes = materialize(most, "large")
+    large = sizes.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).first()
+    if not large.k:
+        return sizes, 0
+    parts = -(-large.n // chunk_rows)
+    probs = [i / parts for i in range(1, parts)]
+    points = join_small(series.select("metric", F.col("ts").cast("double").alias("ts")), sizes, ["metric"], large.k)
+    found = points.groupBy("metric").agg(F.first("n").alias("n"), F.percentile_approx("ts", probs, 10 * parts).alias("p"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(parts) * chunk_rows / F.col("n"))).cast("int")
+    return materialize(found.select("metric", F.array_distinct(F.filter("p", lambda x, i: (i + 1) % step == 0)).alias("cuts")), "cuts"), large.k
+
+
+def _at(t: Column) -> Column:
+    """The number of cuts up to a time: first among every STRIDE-th, then between two of those."""
+    coarse = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("cuts")), F.lit(STRIDE)), lambda i: F.get(F.col("cuts"), i - 1))
+    skip = F.greatest(F.lit(0), F.size(F.filter(coarse, lambda c: c <= t)) - 1) * STRIDE
+    return F.coalesce(skip + F.size(F.filter(F.slice("cuts", skip + 1, F.lit(STRIDE)), lambda c: c <= t)), F.lit(0))
+
+
 def chunked(series: DataFrame, rows: int = 0, seconds: float = 0.0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """A series (metric, ts, id, value) with ``chunk`` and ``halo``.
 
@@ -21,15 +48,14 @@ def chunked(series: DataFrame, rows: int = 0, seconds: float = 0.0, chunk_rows:
     what a frame of so many preceding rows or seconds can reach before it.  Windows
     are taken by (metric, chunk) and halo rows dropped after; no metric has to fit one task.
     """
-    cuts, n = _chunks(series, "metric", "ts", chunk_rows)
+    cuts, n = _cuts(series, chunk_rows)
     if not n:
         return series.withColumns({"chunk": F.lit(0), "halo": F.lit(False)})
-    at = lambda t: F.coalesce(F.size(F.filter("cuts", lambda c: c <= t)), F.lit(0))
-    placed = join_small(series, cuts.withColumnRenamed("src", "metric"), ["metric"], n, "left").withColumn("chunk", at(F.col("ts")))
+    placed = join_small(series, cuts, ["metric"], n, "left").withColumn("chunk", _at(F.col("ts")))
     own = placed.withColumn("halo", F.lit(False))
     more = []
     if seconds:
-        reach = at(F.col("ts") + seconds)
+        reach = _at(F.col("ts") + seconds)
         more.append(placed.where(reach > F.col("chunk")).withColumn("chunk", F.explode(F.sequence(F.col("chunk") + 1, reach))).withColumn("halo", F.lit(True)))
     if rows:
         last = F.row_number().over(Window.partitionBy("metric", "chunk").orderBy(F.desc("ts"), F.desc("id")))
@@ -99,8 +125,16 @@ def rolling(series: DataFrame, seconds: int, most: int) -> DataFrame:
 def threshold_alerts(series: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Alerts of points against every threshold of their metric: too few samples first, then minimum, maximum, relative change to the point before."""
     w = _window()
-    seen = chunked(series, rows=HISTORY).withColumns({"previous": F.lag("value").over(w), "samples": F.row_number().over(w)}).where(~F.col("halo"))
-    met = seen.join(F.broadcast(thresholds), "metric")
+    placed = chunked(series, rows=1)
+    own = (~F.col("halo")).cast("bigint")
+    # Points of the chunks before count too.
+    sizes = placed.groupBy("metric", "chunk").agg(F.sum(own).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("metric").orderBy("chunk")) - F.col("size")
+    sizes = materialize(sizes.withColumn("before", before).drop("size"), "sizes")
+    samples = F.sum(own).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    seen = placed.withColumns({"previous": F.lag("value").over(w), "samples": samples}).where(~F.col("halo"))
+    seen = join_small(seen, sizes, ["metric", "chunk"], sizes.count()).withColumn("samples", F.col("samples") + F.col("before"))
+    met = join_small(seen, thresholds, ["metric"], thresholds.count())
     change = F.abs(F.col("value") - F.col("previous")) / F.abs("previous")
     kind = (
         F.when(F.col("samples") < F.col("sample_size"), None)

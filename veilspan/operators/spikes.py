@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspan.operators.orderstats import exact_medians
+from veilspan.operators.orderstats import exact_medians, size_bin
+from veilspan.operators.phase import BLOCK_ROWS, ordered_pass
 from veilspan.operators.skew import join_small
 from veilspan.session import materialize
 
 #: Consecutive equal readings that make a stuck run.
 RUN = 10
-#: Rows of one source in a chunk; larger sources are cut by time.
-CHUNK_ROWS = 200_000
-#: Most cuts of one source.
-MOST_CUTS = 256
+#: Readings of a record: the ellipsoids reach as far as the largest of so many normal readings is expected to lie.
+RECORD = 100_000
+#: Most times that the ellipsoids are taken again without what they flagged; they stop sooner where nothing new is flagged.
+ITERATIONS = 4
+#: Steps to an octave in the tallies of scales; a scale is off by at most half a step, 1.1 %.
+STEPS = 32
 #: Normal-consistency factor of the median absolute deviation.
 MAD_SIGMA = 1.4826
 
@@ -25,9 +30,8 @@ MAD_SIGMA = 1.4826
 class Measure:
     """Bounds and scale of one measure.
 
-    ``ratio``: readings are compared as logarithms and the ellipsoid never reaches
-    beyond this factor of the median.  Otherwise it never reaches beyond ``mads``
-    median absolute deviations.
+    ``ratio``: readings are compared as logarithms, and the stated tolerance is this factor of the median.
+    Otherwise it is ``mads`` median absolute deviations.
     """
 
     name: str
@@ -41,12 +45,23 @@ class Measure:
         above = v > self.low if self.open_low else v >= self.low
         return ~F.isnan(v) & above & (v <= self.high) & (F.abs(v) != F.lit(float("inf")))
 
+    def scale(self, v: Column) -> Column:
+        """Where a possible reading lies on the measure's scale; null has no place."""
+        return F.log(v) if self.ratio else v
+
+    def scaled(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which readings are possible and have a place on the scale, and all places."""
+        usable = np.isfinite(v) & ((v > self.low) if self.open_low or self.ratio else (v >= self.low)) & (v <= self.high)
+        return usable, np.log(np.where(usable, v, 1.0)) if self.ratio else v
+
 
 MEASURES = (
     Measure("duration", 0.0, float("inf"), ratio=4.0),
     Measure("cpu_percent", 0.0, 100.0),
     Measure("memory_mb", 0.0, 10_000_000.0, open_low=True),
 )
+#: Inverse half-axes of the three ellipses, and the turn of the third.
+AXES = ("ia", "ib", "ic", "ip", "iq", "cs", "sn")
 
 
 def _pick(measures, f) -> Column:
@@ -58,124 +73,104 @@ def _pick(measures, f) -> Column:
     return out
 
 
-def _readings(df: DataFrame, source: str, ts: str, key: str, measures) -> DataFrame:
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("m"), F.col(f"`{m.name}`").cast("double").alias("v")) for i, m in enumerate(measures)]))
-    return (
-        df.select(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("\0")).alias("src"), F.col(f"`{ts}`").cast("double").alias("ts"), F.col(f"`{key}`").alias("id"), pairs.alias("r"))
-        .select("src", "ts", "id", "r.m", "r.v")
-        .where("v is not null")
-    )
-
-
-def _chunks(df: DataFrame, source: str, ts: str, chunk_rows: int) -> tuple[DataFrame, int]:
-    """(src, cuts) for sources of more than ``chunk_rows`` rows: at most total / chunk_rows rows, MOST_CUTS cuts each."""
-    keys = df.select(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("\0")).alias("src"), F.col(f"`{ts}`").cast("double").alias("ts"))
-    probs = [i / MOST_CUTS for i in range(1, MOST_CUTS)]
-    big = keys.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("ts", probs, 10 * MOST_CUTS).alias("p")).where(F.col("n") > chunk_rows)
-    step = F.greatest(F.lit(1), F.floor(F.lit(MOST_CUTS) * chunk_rows / F.col("n"))).cast("int")
-    cuts = big.select("src", F.array_distinct(F.filter("p", lambda x, i: (i + 1) % step == 0)).alias("cuts"))
-    cuts = materialize(cuts, "cuts")
-    return cuts, cuts.count()
-
-
-def _ordered(readings: DataFrame, cuts: DataFrame, n_cuts: int) -> DataFrame:
-    """Differences and run lengths of each source's readings in the order of (ts, id), by chunk."""
-    if n_cuts:
-        readings = join_small(readings, cuts, ["src"], n_cuts, "left").withColumn("chunk", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("ts"))), F.lit(0))).drop("cuts")
-    else:
-        readings = readings.withColumn("chunk", F.lit(0))
-    part = Window.partitionBy("src", "m", "chunk")
-    w = part.orderBy("ts", "id")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    prev = F.lag("v").over(w)
-    return (
-        readings.withColumn("prev", prev)
-        .withColumn("fresh", (F.col("prev").isNull() | (F.col("v") != F.col("prev"))).cast("int"))
-        .withColumn("d1", F.when(F.abs("v") + F.abs("prev") < F.lit(float("inf")), F.col("v") - F.col("prev")))
-        .withColumn("d2", F.col("d1") - F.lag("d1").over(w))
-        .withColumn("run", F.sum("fresh").over(upto))
-        .withColumn("rn", F.row_number().over(w))
-        .withColumn("at", F.col("rn") - F.max(F.when(F.col("fresh") == 1, F.col("rn"))).over(upto) + 1)
-        .withColumn("stuck", F.max("at").over(w.rowsBetween(0, RUN - 1)) >= RUN)
-        .withColumn("runs", F.max("run").over(part))
-        .select(
-            "id", "src", "m", "chunk", "v", F.col("d1").cast("float").alias("d1"), F.col("d2").cast("float").alias("d2"), "stuck",
-            ((F.col("run") == 1).cast("tinyint") + F.when(F.col("run") == F.col("runs"), 2).otherwise(0)).cast("tinyint").alias("edge"),
-        )
-    )
-
-
-def _stitched(rows: DataFrame) -> DataFrame:
-    """(src, m, chunk, edge) of runs at chunk borders that are long enough only together."""
-    edges = rows.where("edge > 0").groupBy("src", "m", "chunk", "edge").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("src", "m").orderBy("chunk", "edge")  # at most two rows a chunk
-    first = F.lag("v").over(w).isNull() | (F.lag("v").over(w) != F.col("v")) | (F.lag("chunk").over(w) == F.col("chunk"))
-    islands = edges.withColumn("i", F.sum(first.cast("int")).over(w))
-    total = F.sum("n").over(Window.partitionBy("src", "m", "i"))
-    return islands.withColumn("total", total).where(F.col("total") >= RUN).select("src", "m", "chunk", "edge", F.lit(True).alias("joined"))
-
-
-def flag_faults(df: DataFrame, source: str, ts: str, key: str, measures: tuple[Measure, ...] = MEASURES, iterations: int = 2, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def _long(ordered: DataFrame, measures) -> DataFrame:
+    """One row per reading: ``id, src, m, v, x, d1, d2, stuck, impossible``; ``x`` is its place on the measure's scale.
+
+    One narrow scan for each measure: no rows are multiplied, and what a pass does not use is not read.
+    """
+    out = None
+    for k, m in enumerate(measures):
+        v = F.col(f"v{k}")
+        own = ordered.where(v.isNotNull()).select(
+            "id", "src", F.lit(k).cast("tinyint").alias("m"), v.alias("v"), m.scale(v).alias("x"), F.coalesce(F.col(f"d{k}"), F.lit(0.0)).alias("d1"), F.coalesce(F.col(f"e{k}"), F.lit(0.0)).alias("d2"),
+            F.col(f"stuck{k}").alias("stuck"), (~m.possible(v)).alias("impossible"),
+        )
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _outside() -> Column:
+    """Whether a reading lies outside one of the three ellipses."""
+    ia, ib, ic, ip, iq, cs, sn = (F.col(c) for c in AXES)
+    x, y, z = F.col("u") * ia, F.col("d1") * ib, F.col("d2") * ic
+    along, across = (F.col("u") * cs + F.col("d2") * sn) * ip, (F.col("d2") * cs - F.col("u") * sn) * iq
+    return (x * x + y * y >= 1) | (y * y + z * z >= 1) | (along * along + across * across >= 1)
+
+
+def _turns(usable: DataFrame) -> DataFrame:
+    """The turn of the ellipse over value and second difference, from their moments: ``src, m, cs, sn``."""
+    turn = F.coalesce(F.atan(F.sum(F.col("u") * F.col("d2")) / F.nullif(F.sum(F.col("u") * F.col("u")), F.lit(0.0))), F.lit(0.0))
+    out = usable.groupBy("src", "m").agg(turn.alias("turn"))
+    return out.select("src", "m", F.cos("turn").alias("cs"), F.sin("turn").alias("sn"))
+
+
+def _axes(usable: DataFrame, before: DataFrame, normal: DataFrame, turns: DataFrame) -> DataFrame:
+    """``src, m, n``, the half-axes and the ellipses from the readings that are not flagged yet.
+
+    The scale of the value is known exactly.  Those of the differences are medians of |d1| and |d2| from tallies by
+    size, so that no group is gathered.  No ellipse is wider than ``before``: what was flagged stays flagged.
+    """
+    group, zero = ["src", "m"], F.lit(0.0)
+    reach = MAD_SIGMA * math.sqrt(2 * math.log(RECORD))
+    entry = lambda k, c: F.struct(F.lit(k).alias("kind"), size_bin(F.abs(c), STEPS).alias("bin"))
+    counts = usable.select(*group, F.explode(F.array(entry(1, F.col("d1")), entry(2, F.col("d2")))).alias("x")).groupBy(*group, "x.kind", "x.bin").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*group, "kind")
+    ranked = counts.withColumn("to", F.sum("c").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    middle = (F.col("to") * 2 >= F.col("n")) & ((F.col("to") - F.col("c")) * 2 < F.col("n"))
+    size = F.when(F.col("bin") > 0, F.exp((F.col("bin") + (0.5 - 1_000 * STEPS)) * (math.log(2) / STEPS))).otherwise(0.0)
+    scale = lambda k: F.coalesce(F.max(F.when(middle & (F.col("kind") == k), size)), zero) * reach
+    fresh = ranked.groupBy(*group).agg(F.max("n").alias("n"), scale(1).alias("b"), scale(2).alias("c")).join(turns, group).join(normal, group)
+    out = fresh.withColumn("a", F.col("mad") * reach)
+    cs2, sn2, a2, c2 = (F.col(x) * F.col(x) for x in ("cs", "sn", "a", "c"))
+    det = F.nullif(cs2 * cs2 - sn2 * sn2, zero)
+    out = out.withColumns({"p": F.coalesce((cs2 * a2 - sn2 * c2) / det, zero), "q": F.coalesce((cs2 * c2 - sn2 * a2) / det, zero)})
+    tilted = (F.col("p") > 0) & (F.col("q") > 0)
+    # A zero axis lets nothing but zero inside, a missing ellipse everything.
+    inverse = {f"i{x}": F.when(F.col(x) > 0, 1 / F.col(x)).otherwise(F.lit(1e300)) for x in "abc"} | {f"i{x}": F.when(tilted, 1 / F.sqrt(x)).otherwise(zero) for x in "pq"}
+    out = out.select(*group, "n", "cs", "sn", *[c.alias(n) for n, c in inverse.items()])
+    if before is not None:
+        old = before.select(*group, *[F.col(n).alias(f"old_{n}") for n in inverse])
+        out = out.join(old, group).select(*group, "n", "cs", "sn", *[F.greatest(n, f"old_{n}").alias(n) for n in inverse])
+    return materialize(out, "axes")
+
+
+def flag_faults(df: DataFrame, source: str, ts: str, key: str, measures: tuple[Measure, ...] = MEASURES, iterations: int = ITERATIONS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per implausible reading: ``id, src, measure_name, v, median, mad, fault``.
 
     Every source (null is a source of its own) is judged against its own normal behaviour.
     ``fault`` is ``impossible`` (NaN, infinite or out of bounds), ``stuck`` (one of
     RUN or more equal readings in the order of (ts, id)) or ``spike``: outside one of
     three robust ellipses over value, first and second difference.  Their half-axes
-    are the universal threshold sqrt(2 ln n) times the robust scale, the value's at
-    most the measure's own tolerance; the scales of the differences are taken again
-    without what was flagged, ``iterations`` times.  Null readings are left out;
-    repeated rows count as rows; an empty table gives no rows.  Differences do not
-    reach over the time cuts of a very large source; runs do.
+    are sqrt(2 ln RECORD) times the robust scale.  What is flagged stays flagged, and the scales
+    are taken again without it until nothing new is flagged, ``iterations`` times at most.
+    Differences are between possible readings of the whole source, however it is cut.  Null readings are left out;
+    repeated rows count as rows; an empty table gives no rows.
     """
-    readings = _readings(df, source, ts, key, measures)
-    group = ["src", "m"]
-    good = readings.where(_pick(measures, lambda m: m.possible(F.col("v")))).select(*group, "v")
-    medians, n_groups = exact_medians(good, group, "v")
-    # The distance from the median, of logarithms where the measure compares ratios.
-    u = _pick(measures, lambda m: F.when(F.col("median") > 0, F.coalesce(F.log(F.col("v") / F.col("median")), F.lit(float("-inf")))).otherwise(F.col("v")) if m.ratio else F.col("v") - F.col("median"))
-    mads, _ = exact_medians(join_small(good, medians, group, n_groups).select(*group, F.abs(u).alias("u")), group, "u")
-    normal = materialize(medians.join(mads.select(*group, F.col("median").alias("mad")), group), "normal")
-
-    ordered = materialize(_ordered(readings, *_chunks(df, source, ts, chunk_rows)), "ordered")
-    edges = materialize(_stitched(ordered), "edges")
-    n_edges = edges.count()
-    ordered = join_small(ordered, edges, ["src", "m", "chunk", "edge"], n_edges, "left") if n_edges else ordered.withColumn("joined", F.lit(None).cast("boolean"))
-    zero = F.lit(0.0)
-    scored = join_small(ordered, normal, group, n_groups, "left").select(
-        "id", *group, "v", "median", "mad", u.alias("u"), F.coalesce(F.col("d1").cast("double"), zero).alias("d1"), F.coalesce(F.col("d2").cast("double"), zero).alias("d2"),
-        (F.col("stuck") | F.coalesce("joined", F.lit(False))).alias("stuck"), (~_pick(measures, lambda m: m.possible(F.col("v")))).alias("impossible"),
-    )
-    lam = F.sqrt(2 * F.log(F.greatest(F.col("n"), F.lit(2)).cast("double"))) * MAD_SIGMA
-    tolerance = _pick(measures, lambda m: F.log(F.lit(m.ratio)) * (1 - 1e-9) if m.ratio else m.mads * F.col("mad"))
-    tagged = scored.withColumn("spike", F.lit(False))
-    for _ in range(max(1, iterations)):
-        usable = tagged.where(~F.col("spike") & ~F.col("impossible") & ~F.col("stuck") & (F.abs("u") < 1e300))
-        sums = usable.groupBy(*group).agg(
-            F.percentile_approx(F.abs("d1"), 0.5, 1000).alias("q1"),
-            F.percentile_approx(F.abs("d2"), 0.5, 1000).alias("q2"),
-            F.sum(F.col("u") * F.col("d2")).alias("ud"),
-            F.sum(F.col("u") * F.col("u")).alias("uu"),
-        )
-        axes = normal.join(sums, group, "left").select(
-            *group, F.least(lam * F.col("mad"), tolerance).alias("a"), (lam * F.coalesce("q1", zero)).alias("b"), (lam * F.coalesce("q2", zero)).alias("c"),
-            F.coalesce(F.atan(F.col("ud") / F.nullif(F.col("uu"), zero)), zero).alias("turn"),
-        )
-        axes = materialize(axes.withColumns({"cs": F.cos("turn"), "sn": F.sin("turn")}), "axes")
-        cs2, sn2, a2, c2 = (F.col(x) * F.col(x) for x in ("cs", "sn", "a", "c"))
-        det = F.nullif(cs2 * cs2 - sn2 * sn2, zero)
-        axes = axes.withColumns({"p": F.coalesce((cs2 * a2 - sn2 * c2) / det, zero), "q": F.coalesce((cs2 * c2 - sn2 * a2) / det, zero)})
-        tilted = (F.col("p") > 0) & (F.col("q") > 0)
-        inverse = lambda x: F.when(F.col(x) > 0, 1 / F.col(x)).otherwise(F.lit(1e300))
-        # Inverse half-axes: a zero axis lets nothing but zero inside, a missing ellipse everything.
-        axes = axes.select(*group, "cs", "sn", *[inverse(x).alias(f"i{x}") for x in "abc"], *[F.when(tilted, 1 / F.sqrt(x)).otherwise(zero).alias(f"i{x}") for x in "pq"])
-        tagged = join_small(scored, materialize(axes, "axes"), group, n_groups, "left")
-        x, y, z = F.col("u") * F.col("ia"), F.col("d1") * F.col("ib"), F.col("d2") * F.col("ic")
-        along = (F.col("u") * F.col("cs") + F.col("d2") * F.col("sn")) * F.col("ip")
-        across = (F.col("d2") * F.col("cs") - F.col("u") * F.col("sn")) * F.col("iq")
-        spike = (x * x + y * y >= 1) | (y * y + z * z >= 1) | (along * along + across * across >= 1)
-        tagged = tagged.withColumn("spike", F.coalesce(spike, F.lit(True)))
-    tagged = tagged.where("impossible or stuck or spike")
+    ordered = ordered_pass(df, source, ts, key, measures, RUN, block_rows)
+    group, readings = ["src", "m"], _long(ordered, measures)
+    good = readings.where(~F.col("impossible"))
+    medians, n_groups = exact_medians(good.select(*group, "v"), group, "v")
+    medians = medians.withColumn("middle", _pick(measures, lambda m: m.scale(F.col("median"))))
+    # The distance from the median on the measure's scale; what has no place there is infinitely far, unless it is the median itself.
+    u = F.coalesce(F.col("x") - F.col("middle"), F.when(F.col("v") == F.col("median"), 0.0).otherwise(F.lit(float("-inf"))))
+    near = join_small(good.select(*group, "v", "x"), medians, group, n_groups).select(*group, F.abs(u).alias("u"))
+    mads, _ = exact_medians(near, group, "u")
+    normal = materialize(medians.join(mads.select(*group, F.col("median").alias("mad")), group).select(*group, "median", "middle", "mad"), "normal")
+    placed = join_small(readings, normal, group, n_groups, "left").withColumn("u", u)
+
+    usable = placed.where(~F.col("impossible") & ~F.col("stuck") & (F.abs("u") < 1e300)).select(*group, "u", "d1", "d2")
+    turns = materialize(_turns(usable), "turns")
+    axes = _axes(usable, None, normal, turns)
+    left = axes.agg(F.sum("n")).first()[0]
+    for _ in range(iterations - 1):
+        axes = _axes(join_small(usable, axes.drop("n"), group, n_groups).where(~_outside()), axes, normal, turns)
+        now = axes.agg(F.sum("n")).first()[0]
+        if now == left:
+            break
+        left = now
+    # Without a usable reading a source has no ellipses, and what is left of it lies infinitely far.
+    spike = F.coalesce(_outside(), F.lit(True))
+    tagged = join_small(placed, axes.drop("n"), group, n_groups, "left").withColumn("spike", spike).where("impossible or stuck or spike")
     fault = F.when(F.col("impossible"), "impossible").when(F.col("stuck"), "stuck").when(F.col("spike"), "spike")
     name = _pick(measures, lambda m: F.lit(m.name))
     return tagged.withColumn("fault", fault).select("id", F.nullif("src", F.lit("\0")).alias("src"), name.alias("measure_name"), "v", "median", "mad", "fault")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspan.operators.orphans import find_orphans, utc_micros
 from veilspan.operators.spikes import confirmed, flag_faults
+from veilspan.session import materialize
 from veilspan.sources.tables import table
 
 
@@ -23,6 +24,14 @@ def p1_fault_report(spark: SparkSession, root: str) -> DataFrame:
     return _faults(spark, root).groupBy(F.col("src").alias("event_name"), "measure_name", "fault").agg(F.count(F.lit(1)).alias("readings"))
 
 
+def p1_ellipsoid_flags(spark: SparkSession, root: str) -> DataFrame:
+    """By event and measure what the ellipsoids flag by themselves, and how much of it lies beyond the stated tolerance."""
+    faults = flag_faults(table(spark, root, "performance_metrics", "id", "ts", "event_name", "duration", "cpu_percent", "memory_mb"), "event_name", "ts", "id").where("fault = 'spike'")
+    faults = materialize(faults, "spikes")
+    both = faults.withColumn("beyond", F.lit(0)).unionByName(confirmed(faults).withColumn("beyond", F.lit(1)))
+    return both.groupBy(F.col("src").alias("event_name"), "measure_name").agg(F.count_if(F.col("beyond") == 0).alias("flagged"), F.count_if(F.col("beyond") == 1).alias("beyond_tolerance"))
+
+
 def _references(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     def child(name: str, key: str, at):
         return table(spark, root, name, "id", key, at[0]).select(F.lit(name).alias("record_table"), F.col("id").alias("record_id"), F.col(key).alias("ref"), at[1].alias("at"))
@@ -58,7 +67,7 @@ def p6_orphan_report(spark: SparkSession, root: str) -> DataFrame:
     return _orphans(spark, root).groupBy("record_table", month.alias("period"), "reason").agg(F.count(F.lit(1)).alias("orphans"), F.countDistinct("ref").alias("missing_keys"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_fault_report": p1_fault_report, "p6_found": p6_found, "p6_orphan_report": p6_orphan_report}
+QUERIES = {"p1_found": p1_found, "p1_fault_report": p1_fault_report, "p1_ellipsoid_flags": p1_ellipsoid_flags, "p6_found": p6_found, "p6_orphan_report": p6_orphan_report}
 
 _READINGS = """
 r AS (
