@@ -222,10 +222,10 @@ def test_mix(spark):
 
 def test_crossover_keeps_every_item_once():
     rng = np.random.default_rng(1)
-    sizes = [int(x) for x in rng.integers(1, 100, 300)]
-    a, b = (best_fit(rng.permutation(300).tolist(), sizes, 128, []) for _ in range(2))
+    sizes = rng.integers(1, 100, 300)
+    a, b = (best_fit(rng.permutation(300).tolist(), sizes, 128, np.full(300, -1)) for _ in range(2))
     for child in (crossover(a, b, sizes, 128, rng), evolve(sizes, 128, [a, b], 3)[0]):
-        assert sorted(i for x in child for i in x) == list(range(300)) and max(sum(sizes[i] for i in x) for x in child) <= 128
+        assert len(child) == 300 and child.min() == 0 and np.bincount(child, weights=sizes).max() <= 128
 
 
 def test_pack_edges(spark):
@@ -298,3 +298,26 @@ def test_found_in_fields(spark):
     assert got[4, "a"][0] == ["person_name"] and "street_address" in got[4, "text"][0]
     assert not any(k[0] in (2, 3) for k in got)
     assert find_personal(df.limit(0), F.col("id"), "a").count() == 0
+
+
+def test_labels_of_any_length(spark):
+    long = "labai ilgas laukelio pavadinimas kuris tęsiasi ir tęsiasi"
+    rows = [(1, f"{long}: A; tel: 1", "c"), (2, f"tel = 1 | {long} = a", "c"), (3, f"{long} = 5", "c"), (4, f"{long} 5", "c")]
+    df = spark.createDataFrame(rows, "id long, t string, c string")
+    assert {(r.first_id, r.id) for r in group_copies(df, "x", "id", "t", F.col("c")).collect()} == {(1, 1), (1, 2)}
+
+
+@pytest.mark.parametrize(("odd", "plain"), [("a\U000e0041\U000e0100b", "ab"), ("Ꮇedis", "Medis"), ("սpė", "upė")])
+def test_upper_planes_and_other_alphabets(odd, plain):
+    assert FORMER.form(odd) == plain
+
+
+def test_swap_repair_in_blocks(monkeypatch):
+    from veilspan.llm import sampling
+
+    rng = np.random.default_rng(4)
+    member = np.concatenate([np.eye(6, dtype=np.int64)[rng.integers(0, 6, 80)], np.eye(5, dtype=np.int64)[rng.integers(0, 5, 80)]], axis=1)
+    args = rng.integers(5, 60, 80), member, np.array([50, 30, 20, 40, 30, 30, 60, 60, 40, 20, 20]) * 1.0, np.full(11, 5), 200, 3
+    whole = swap_repair(*args)
+    monkeypatch.setattr(sampling, "WEIGHED", 700)
+    assert (swap_repair(*args) == whole).all() and whole.sum() == 200

@@ -12,8 +12,9 @@ from veilspan.session import materialize
 MODULUS = (1 << 61) - 1
 #: Whitespace and punctuation of any script.
 NOISE = r"(?U)[\s\p{Z}\p{P}]+"
-#: A label and its value: the label begins with a letter and is short.
-FIELD = r"(?s)^[^\p{L}]*(\p{L}[^:=]{0,40}?)[:=](.*)$"
+#: A label and its value: the label begins with a letter. A text of one part alone is a field only if its label is short, as LONE has it.
+FIELD = r"(?s)^[^\p{L}]*(\p{L}[^:=]*?)[:=](.*)$"
+LONE = r"(?s)^[^\p{L}]*(\p{L}[^:=]{0,40}?)[:=](.*)$"
 #: Signs and line ends between fields.
 BETWEEN = r"[;\n\r|]+"
 
@@ -35,7 +36,8 @@ def fields(text: Column) -> Column:
     one = F.transform(pairs, lambda p: F.concat(p["a"], p["b"]))
     whole = F.array(plain(text))
     is_fielded = text.rlike("[:=]") & labelled
-    return F.when(is_fielded & (F.size(parts) > 1), joined).when(is_fielded & (F.size(parts) == 1), one).otherwise(whole)
+    short = F.exists(parts, lambda p: p.rlike(LONE))
+    return F.when(is_fielded & (F.size(parts) > 1), joined).when(is_fielded & (F.size(parts) == 1) & short, one).otherwise(whole)
 
 
 def multiset_hash(items: Column, seed: int) -> Column:

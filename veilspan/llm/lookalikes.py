@@ -24,6 +24,8 @@ DRESSES = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<small>", "<initial>",
 HYPHENS = "\u2010\u2011\u2212"
 ALIKE = {
     "CYRILLIC": ("абвсԁеһіјкорԛѕтухѵԝАВСЕНІЈКМОРЅТУХԜ", "aбвcdehijkopqsтyxvwABCEHIJKMOPSTYXW"),
+    "ARMENIAN": ("հոսցՍ", "hnugU"),
+    "CHEROKEE": ("ᎠᎡᎢᎪᎫᎳᎷᎻᏃᏙᏚᏞᏟᏢᏦᏴ", "DRTAJWMHZVSLCPKB"),
     "GREEK": ("αικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aiĸvoptuxABEZHIKMNOPTYX"),
 }
 #: Alphabets whose words need joiners.
@@ -71,7 +73,7 @@ def alphabet(c: str) -> str:
 
 
 def invisible(c: str) -> bool:
-    return ud.category(c) in ("Cf", "Cc") and c not in "\t\n\r" or "\ufe00" <= c <= "\ufe0f" or c in "\u034f\u115f\u1160\u3164\uffa0"
+    return ud.category(c) in ("Cf", "Cc") and c not in "\t\n\r" or "\ufe00" <= c <= "\ufe0f" or "\U000e0100" <= c <= "\U000e01ef" or c in "\u034f\u115f\u1160\u3164\uffa0"
 
 
 def plainer(c: str) -> str | None:
@@ -152,7 +154,9 @@ class Former:
     @classmethod
     def everyday(cls) -> Former:
         """One for any text: all of Unicode, with the letters of European languages as the usual ones."""
-        counts = {chr(c): 1 for c in range(0x20000) if plainer(chr(c)) is not None and not 0xAC00 <= c <= 0xD7A3}
+        # Everything assigned: the lower planes, the compatibility ideographs, and tags and variation selectors.
+        planes = (range(0x20000), range(0x2F800, 0x2FA20), range(0xE0000, 0xE0200))
+        counts = {chr(c): 1 for r in planes for c in r if plainer(chr(c)) is not None and not 0xAC00 <= c <= 0xD7A3}
         counts |= {chr(c): 1 for c in range(0x300, 0x370) if ud.category(chr(c)) == "Mn"}
         counts |= {chr(c): 20 for c in [*range(0x391, 0x3CA), *range(0x410, 0x450)]}
         counts |= {chr(c): 50 for c in range(0xC0, 0x180)}

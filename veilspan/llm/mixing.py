@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm.percentiles import PART_BITS, ranked
+from veilspan.operators.skew import join_small
 from veilspan.session import materialize
 
-#: Random offsets that are tried for each source.
-OFFSETS = 32
 #: Most sources in a table of targets.
 MOST_SOURCES = 10_000
 
@@ -34,7 +33,7 @@ def mix(sizes: DataFrame, key: str, source: str, targets: DataFrame, total: floa
     """(mixture, shares) of documents with ``tokens``.
 
     Within a source the documents stand in the order of their size, expected copies are
-    summed up, one random offset is added (of OFFSETS the best), and a document is emitted once for each
+    summed up, one random offset is added, and a document is emitted once for each
     integer that the sum crosses at it; so each is used the same number of times, rounded up or
     down, and drawn sizes follow the source's.  The mixture has ``key, source, tokens,
     copy``; the shares have one row per target, also where the source has no documents.
@@ -51,19 +50,14 @@ def mix(sizes: DataFrame, key: str, source: str, targets: DataFrame, total: floa
     sums = {r.source: (r.t, r.n) for r in own.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     rng = random.Random(seed)
     copies = expected_copies({s: t for s, (t, _) in sums.items()}, goals, total)
-    tries = [rng.random() for _ in range(OFFSETS)]
-    each = F.broadcast(spark.createDataFrame(sorted(copies.items()), "source string, each double"))
+    # At most MOST_SOURCES rows; each source has one offset of its own.
+    each = F.broadcast(spark.createDataFrame([(x, c, rng.random()) for x, c in sorted(copies.items())], "source string, each double, offset double"))
     docs, offsets = ranked(own, ["source"], "tokens", "key")
-    # Hardly more rows than partitions and sources.
-    spots = F.broadcast(offsets.select("source", "part", "first", "before"))
-    placed = docs.withColumn("part", F.shiftright("place", PART_BITS)).join(spots, ["source", "part"]).join(each, "source")
+    spots = offsets.select("source", "part", "first", "before")
+    placed = join_small(docs.withColumn("part", F.shiftright("place", PART_BITS)), spots, ["source", "part"], spots.count()).join(each, "source")
     rank = F.col("place") - F.col("first") + F.col("before")
-    times = lambda u: (F.floor((rank + 1) * F.col("each") + u) - F.floor(rank * F.col("each") + u)).cast("int")
-    # Of several random offsets each source takes the one that draws nearest to its expected tokens.
-    drawn = placed.groupBy("source").agg(*[F.sum(F.col("tokens") * times(F.lit(u))).alias(f"t{k}") for k, u in enumerate(tries)]).collect()
-    best = {r.source: min(tries, key=lambda u, r=r: abs(r[f"t{tries.index(u)}"] - copies[r.source] * sums[r.source][0])) for r in drawn}
-    chosen = F.broadcast(spark.createDataFrame(sorted(best.items()), "source string, offset double"))
-    used = placed.join(chosen, "source").withColumn("times", times(F.col("offset"))).where("times > 0")
+    times = (F.floor((rank + 1) * F.col("each") + F.col("offset")) - F.floor(rank * F.col("each") + F.col("offset"))).cast("int")
+    used = placed.withColumn("times", times).where("times > 0")
     mixture = used.select(F.col("key").alias(key), "source", "tokens", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
 
     goal = spark.createDataFrame([(s, g, m, *sums.get(s, (0, 0))) for s, (g, m) in sorted(goals.items())], "source string, target_share double, max_repeats int, tokens_there bigint, documents_there bigint")

@@ -40,7 +40,24 @@ def p2_combined_percentiles(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p2_day_knots": p2_day_knots, "p2_percentiles": p2_percentiles, "p2_day_summaries": p2_day_summaries, "p2_combined_percentiles": p2_combined_percentiles}
+_DAYS = """
+x AS (
+  SELECT 'duration' AS measure_name, event_name AS source, CAST(make_timestamp(CAST(floor(ts * 1000000) AS BIGINT)) AS DATE) AS day, duration AS v FROM performance_metrics
+  UNION ALL SELECT 'processing_time_ms', category, CAST(ts AS DATE), processing_time_ms FROM detection_results
+), r AS (
+  SELECT measure_name, source, day, v, row_number() OVER (PARTITION BY measure_name, source, day ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY measure_name, source, day) AS n FROM x WHERE isfinite(v)
+), knots AS (
+  SELECT measure_name, source, day, n, k, v FROM r WHERE n = 1 OR ((k * 256 + n - 2) // (n - 1)) * (n - 1) // 256 = k
+)"""
 ORACLE = {
+    "p2_day_knots": f"WITH {_DAYS} SELECT * FROM knots",
+    "p2_combined_percentiles": f"""WITH {_DAYS}, c AS (SELECT *, k - coalesce(lag(k) OVER (PARTITION BY measure_name, source, day ORDER BY k), -1) AS c FROM knots),
+d AS (SELECT measure_name, source, day, any_value(n) AS n, max(c) - 1 AS slack FROM c GROUP BY ALL),
+t AS (SELECT measure_name, source, CAST(sum(n) AS BIGINT) AS n, sum(slack) AS slack FROM d GROUP BY ALL),
+w AS (SELECT measure_name, source, v, sum(c) AS c FROM c GROUP BY ALL),
+u AS (SELECT *, sum(c) OVER (PARTITION BY measure_name, source ORDER BY v) AS upto FROM w),
+p AS (SELECT u.*, n, slack, unnest({PROBS}) AS p FROM u JOIN t ON u.measure_name = t.measure_name AND u.source IS NOT DISTINCT FROM t.source)
+SELECT measure_name, source, CAST(p AS DOUBLE) AS p, n, v AS value, CAST((slack + 1) / n AS DOUBLE) AS rank_error FROM p WHERE floor((n - 1) * p) < upto AND floor((n - 1) * p) >= upto - c""",
     "p2_percentiles": f"""
 WITH x AS (
   SELECT 'duration' AS measure_name, event_name AS source, duration AS v FROM performance_metrics

@@ -35,9 +35,9 @@ f AS (
 ), p AS (
   SELECT *, list_filter(regexp_split_to_array(t, '[;\n\r|]+'), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) AS parts FROM f WHERE t IS NOT NULL
 ), k AS (
-  SELECT record_table, id, w, CASE WHEN len(parts) > 0 AND len(list_filter(parts, lambda x: NOT regexp_matches(x, '(?s)^[^\p{L}]*\p{L}[^:=]{0,40}?[:=]'))) = 0
-    THEN array_to_string(list_sort(list_transform(parts, lambda x: lower(regexp_replace(regexp_extract(x, '(?s)^[^\p{L}]*(\p{L}[^:=]{0,40}?)[:=](.*)$', 1), '[\s\p{Z}\p{P}]+', '', 'g'))
-      || CASE WHEN len(parts) > 1 THEN chr(1) ELSE '' END || lower(regexp_replace(regexp_extract(x, '(?s)^[^\p{L}]*(\p{L}[^:=]{0,40}?)[:=](.*)$', 2), '[\s\p{Z}\p{P}]+', '', 'g')))), chr(2))
+  SELECT record_table, id, w, CASE WHEN len(parts) > 0 AND len(list_filter(parts, lambda x: NOT regexp_matches(x, '(?s)^[^\p{L}]*\p{L}[^:=]*?[:=]'))) = 0 AND (len(parts) > 1 OR regexp_matches(parts[1], '(?s)^[^\p{L}]*\p{L}[^:=]{0,40}?[:=]'))
+    THEN array_to_string(list_sort(list_transform(parts, lambda x: lower(regexp_replace(regexp_extract(x, '(?s)^[^\p{L}]*(\p{L}[^:=]*?)[:=](.*)$', 1), '[\s\p{Z}\p{P}]+', '', 'g'))
+      || CASE WHEN len(parts) > 1 THEN chr(1) ELSE '' END || lower(regexp_replace(regexp_extract(x, '(?s)^[^\p{L}]*(\p{L}[^:=]*?)[:=](.*)$', 2), '[\s\p{Z}\p{P}]+', '', 'g')))), chr(2))
     ELSE lower(regexp_replace(t, '[\s\p{Z}\p{P}]+', '', 'g')) END AS form FROM p
 ), g AS (
   SELECT *, min(id) OVER (PARTITION BY record_table, w, form) AS first_id, count(*) OVER (PARTITION BY record_table, w, form) AS copies FROM k

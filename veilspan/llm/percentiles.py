@@ -19,9 +19,11 @@ def ranked(df: DataFrame, groups: list[str], *order: str) -> tuple[DataFrame, Da
 
     The second frame has ``groups, part, first, count, before, n``: one row per partition
     and group in it, so hardly more than partitions and groups together.  A group of any
-    size spreads over as many partitions as it needs.
+    size spreads over as many partitions as it needs, also one of equal values.
     """
-    rows = df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order).withColumn("place", F.monotonically_increasing_id())
+    # Rows that are equal in every respect are dealt out by a number of their own.
+    tied = df.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
+    rows = tied.repartitionByRange(*groups, *order, "_tie").sortWithinPartitions(*groups, *order).drop("_tie").withColumn("place", F.monotonically_increasing_id())
     rows = materialize(rows, "sorted")
     parts = rows.groupBy(*groups, F.shiftright("place", PART_BITS).alias("part")).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy(*groups)

@@ -13,6 +13,10 @@ from veilspan.session import materialize
 SHARE = 0.1
 #: Most target rows that are read to the driver.
 MOST_TARGETS = 10_000
+#: Most combinations of target classes that are read to the driver.
+MOST_SIGNATURES = 100_000
+#: Exchanges that are weighed at once.
+WEIGHED = 1_000_000
 #: Hash ranges that a signature is cut into when its rows are drawn.
 RANGES = 4096
 #: Sum over fields of the square of a floor's shortfall counts this many times.
@@ -48,19 +52,24 @@ def swap_repair(available: np.ndarray, member: np.ndarray, goal: np.ndarray, flo
         counts = counts - member[s]
     step = max(1, size // 4)
     while True:
+        now = _loss(counts, goal, floor)
+        best, move = now - 1e-9, None
         give, get = np.flatnonzero(take >= step), np.flatnonzero(available - take >= step)
-        if len(give) and len(get):
-            after = counts - step * member[give][:, None, :] + step * member[get][None, :, :]
-            loss = _loss(after, goal, floor)
+        rows = max(1, WEIGHED // max(1, len(get) * member.shape[1]))
+        for k in range(0, len(give) if len(get) else 0, rows):  # in blocks, whatever the number of signatures
+            some = give[k : k + rows]
+            loss = _loss((counts - step * member[some])[:, None, :] + step * member[get][None, :, :], goal, floor)
             i, j = np.unravel_index(np.argmin(loss), loss.shape)
-            if loss[i, j] < _loss(counts, goal, floor) - 1e-9:
-                take[give[i]] -= step
-                take[get[j]] += step
-                counts = take @ member
-                continue
-        if step == 1:
+            if loss[i, j] < best:
+                best, move = loss[i, j], (some[i], get[j])
+        if move:
+            take[move[0]] -= step
+            take[move[1]] += step
+            counts = take @ member
+        elif step == 1:
             return take
-        step //= 2
+        else:
+            step //= 2
 
 
 def _targets(targets: DataFrame) -> list:
@@ -99,7 +108,9 @@ def draw_sample(df: DataFrame, key: str, targets: DataFrame, size: int | None =
     signed, names = _signed(df, key, rows)
     signed = materialize(signed, "signed")
     # At most one row per combination of target classes.
-    found = signed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).collect() if names else []
+    found = signed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).limit(MOST_SIGNATURES + 1).collect() if names else []
+    if len(found) > MOST_SIGNATURES:
+        raise ValueError(f"more than {MOST_SIGNATURES} combinations of target classes")
     found = sorted(found, key=lambda r: tuple(str(r[x]) for x in names))
     available = np.array([r["_n"] for r in found], dtype=np.int64)
     member = np.array([[r[t.field_name] == t.field_class for t in rows] for r in found], dtype=np.int64).reshape(len(found), len(rows))
