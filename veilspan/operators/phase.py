@@ -14,9 +14,11 @@ from veilspan.operators.skew import join_small
 from veilspan.session import materialize
 
 #: Rows of a series that are held at once; a cut changes no result.
-BLOCK_ROWS = 500_000
+BLOCK_ROWS = 100_000
 #: Bits below a block's partition number.
 BLOCK_BITS = 33
+#: Bits of a reading's mark.
+STUCK, LEADS, TRAILS = 4, 8, 16
 
 
 def _runs(v: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -28,38 +30,34 @@ def _runs(v: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return run, first, np.diff(np.append(first, len(v))), seg[first]
 
 
-def _measured(v: np.ndarray, seg: np.ndarray, last_seg: int, place: np.ndarray, rows: int, usable: np.ndarray, x: np.ndarray, least: int):
-    """(d1, d2, mark) of a block's rows for one measure, and the border rows of its first and last segment.
+def _measured(v: np.ndarray, seg: np.ndarray, last_seg: int, usable: np.ndarray, x: np.ndarray, least: int):
+    """(d1, d2, mark) of a block's readings of one measure, and the borders of its first and last segment.
 
-    A mark has the order of a reading that begins its segment (1, 2, else 0), 4 if it is stuck, 8 in the leading
-    and 16 in the trailing run of its segment.
+    A mark has the order of a usable reading that begins its segment (1, 2, else 0), STUCK, and LEADS or TRAILS in the
+    first or last run of its segment.
     """
-    d1, d2 = np.full(rows, np.nan), np.full(rows, np.nan)
-    mark = np.zeros(rows, dtype=np.int8)
+    n = len(v)
+    d1, d2, mark = np.full(n, np.nan, np.float32), np.full(n, np.nan, np.float32), np.zeros(n, dtype=np.int8)
     run, first, size, of = _runs(v, seg)
-    if len(v):
-        leads = np.ones(len(of), dtype=bool)
-        leads[1:] = of[1:] != of[:-1]
-        trails = np.ones(len(of), dtype=bool)
-        trails[:-1] = of[1:] != of[:-1]
-        mark[place] = ((size >= least) * 4 + leads * 8 + trails * 16).astype(np.int8)[run]
-    px, sx, ux = place[usable], seg[usable], x[usable]
-    one = np.diff(ux)
-    same = sx[1:] == sx[:-1]
-    d1[px[1:]] = np.where(same, one, np.nan)
-    d2[px[2:]] = np.where(same[1:] & same[:-1], one[1:] - one[:-1], np.nan)
-    begin = np.ones(len(sx), dtype=bool)
+    if n:
+        leads, trails = np.ones(len(of), dtype=bool), np.ones(len(of), dtype=bool)
+        leads[1:] = trails[:-1] = of[1:] != of[:-1]
+        mark[:] = ((size >= least) * STUCK + leads * LEADS + trails * TRAILS).astype(np.int8)[run]
+    at, sx, ux = np.flatnonzero(usable), seg[usable], x[usable]
+    one, same = np.diff(ux), sx[1:] == sx[:-1]
+    d1[at[1:]] = np.where(same, one, np.nan)
+    d2[at[2:]] = np.where(same[1:] & same[:-1], one[1:] - one[:-1], np.nan)
+    begin, second = np.ones(len(sx), dtype=bool), np.zeros(len(sx), dtype=bool)
     begin[1:] = ~same
-    second = np.zeros(len(sx), dtype=bool)
     second[1:] = begin[:-1] & same
-    mark[px] += (begin + 2 * second).astype(np.int8)
-    borders = []
-    for s in sorted({0, last_seg}):
+    mark[at] += (begin + 2 * second).astype(np.int8)
+    borders = {}
+    for s in {0, last_seg}:
         own, some = np.flatnonzero(of == s), ux[sx == s]
         if len(own):
             a, b = own[0], own[-1]
             near = (float(some[-1]) if len(some) else None, float(some[-2]) if len(some) > 1 else None)
-            borders.append((s, *near, float(v[first[a]]), int(size[a]), float(v[first[b]]), int(size[b]), a == b))
+            borders[s] = (*near, float(v[first[a]]), int(size[a]), float(v[first[b]]), int(size[b]), bool(a == b))
     return d1, d2, mark, borders
 
 
@@ -68,36 +66,26 @@ def _pass(measures, least: int, block_rows: int):
 
     def finish(parts: list[pa.RecordBatch], chunk: int) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
-        src = t.column("src").combine_chunks()
+        src, ids = t.column("src").combine_chunks(), t.column("id").to_numpy()
         rows = len(src)
         seg = np.zeros(rows, dtype=np.int64)
         if rows > 1:
             seg[1:] = np.cumsum(pc.not_equal(src.slice(1), src.slice(0, rows - 1)).to_numpy(zero_copy_only=False))
         firsts = np.flatnonzero(np.diff(seg, prepend=-1))
-        cols, borders = {"id": t.column("id").combine_chunks(), "src": src}, []
+        out: dict[str, list] = {f.name: [] for f in SCHEMA}
         for k, m in enumerate(measures):
             c = t.column(names[k]).combine_chunks()
-            there = c.is_valid().to_numpy(zero_copy_only=False)
-            v = c.fill_null(0.0).to_numpy(zero_copy_only=False)
-            place = np.flatnonzero(there)
-            own = v[place]
-            usable, x = m.scaled(own)
-            d1, d2, mark, some = _measured(own, seg[place], int(seg[-1]), place, rows, usable, x, least)
-            cols |= {names[k]: c, f"d{k}": pa.array(d1.astype(np.float32), from_pandas=True), f"e{k}": pa.array(d2.astype(np.float32), from_pandas=True), f"k{k}": pa.array(mark)}
-            borders += [(src[int(firsts[s])].as_py(), k, *rest) for s, *rest in some]
-        edge = list(zip(*borders)) or [[]] * 9
-        n = len(borders)
-        out = {}
-        for f in SCHEMA(measures):
-            if f.name in BORDER:
-                out[f.name] = pa.concat_arrays([pa.nulls(rows, f.type), pa.array(edge[1 + BORDER.index(f.name)], type=f.type)])
-            elif f.name == "src":
-                out["src"] = pa.concat_arrays([src.cast(pa.string()), pa.array(edge[0], type=pa.string())])
-            elif f.name == "chunk":
-                out["chunk"] = pa.array(np.full(rows + n, chunk))
-            else:
-                out[f.name] = pa.concat_arrays([cols[f.name].cast(f.type), pa.nulls(n, f.type)])
-        return pa.RecordBatch.from_pydict(out, schema=SCHEMA(measures))
+            place = np.flatnonzero(c.is_valid().to_numpy(zero_copy_only=False))
+            v, own = c.fill_null(0.0).to_numpy(zero_copy_only=False)[place], seg[place]
+            usable, x = m.scaled(v)
+            d1, d2, mark, borders = _measured(v, own, int(seg[-1]), usable, x, least)
+            edges = np.flatnonzero(np.diff(own, prepend=-1)).tolist() + [len(own)]
+            for a, b in zip(edges, edges[1:]):
+                s = int(own[a])
+                row = (src[int(firsts[s])].as_py(), k, chunk, ids[place[a:b]], v[a:b], d1[a:b], d2[a:b], mark[a:b].tobytes(), *borders.get(s, (None,) * 7))
+                for name, value in zip(out, row):
+                    out[name].append(value)
+        return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in SCHEMA], schema=SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -119,17 +107,16 @@ def _pass(measures, least: int, block_rows: int):
     return run
 
 
-BORDER = ["m", "x1", "x2", "lead_v", "lead_n", "trail_v", "trail_n", "whole"]
+BORDER = ["x1", "x2", "lead_v", "lead_n", "trail_v", "trail_n", "whole"]
+SCHEMA = pa.schema([
+    ("src", pa.string()), ("m", pa.int8()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("v", pa.list_(pa.float64())), ("d1", pa.list_(pa.float32())), ("d2", pa.list_(pa.float32())), ("mark", pa.binary()),
+    ("x1", pa.float64()), ("x2", pa.float64()), ("lead_v", pa.float64()), ("lead_n", pa.int64()), ("trail_v", pa.float64()), ("trail_n", pa.int64()), ("whole", pa.bool_()),
+])
+SEGMENT = "src string, m tinyint, chunk bigint, ids array<bigint>, v array<double>, d1 array<float>, d2 array<float>, mark binary, x1 double, x2 double, lead_v double, lead_n bigint, trail_v double, trail_n bigint, whole boolean"
 
 
-def SCHEMA(measures) -> pa.Schema:
-    each = [f for k in range(len(measures)) for f in ((f"v{k}", pa.float64()), (f"d{k}", pa.float32()), (f"e{k}", pa.float32()), (f"k{k}", pa.int8()))]
-    border = zip(BORDER, (pa.int8(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()))
-    return pa.schema([("id", pa.int64()), ("src", pa.string()), ("chunk", pa.int64()), *each, *border])
-
-
-def _carried(borders: DataFrame, least: int, n: int) -> DataFrame:
-    """By chunk and source, for every measure: the last two readings before the chunk, and whether its first and last run are long enough with what is beside them.
+def _carried(borders: DataFrame, least: int) -> DataFrame:
+    """``src, m, chunk, c1, c2, long``: the last two readings before the chunk, and which of its first and last run are long enough with what is beside them.
 
     Borders are at most two sources a chunk, so the windows are over chunks, not rows.
     """
@@ -138,24 +125,22 @@ def _carried(borders: DataFrame, least: int, n: int) -> DataFrame:
     lasting = lambda c: F.last(F.when(F.col("x1").isNotNull(), F.struct(c.alias("c"))), ignorenulls=True).over(before)["c"]
     near = borders.withColumn("c1", lasting(F.col("x1"))).withColumn("c2", lasting(F.coalesce("x2", "c1")))
     side = lambda v, k, at: F.struct(F.col(v).alias("v"), F.col(k).alias("n"), F.lit(at).alias("at"))
-    ends = F.when(F.col("whole"), F.array(side("lead_v", "lead_n", 24))).otherwise(F.array(side("lead_v", "lead_n", 8), side("trail_v", "trail_n", 16)))
+    ends = F.when(F.col("whole"), F.array(side("lead_v", "lead_n", LEADS + TRAILS))).otherwise(F.array(side("lead_v", "lead_n", LEADS), side("trail_v", "trail_n", TRAILS)))
     runs = borders.select("src", "m", "chunk", F.inline(ends))
     by = Window.partitionBy("src", "m").orderBy("chunk", "at")
     same = (F.col("v") == F.lag("v").over(by)) & (F.lag("chunk").over(by) != F.col("chunk"))
     islands = runs.withColumn("i", F.sum(F.when(same, 0).otherwise(1)).over(by))
     total = F.sum("n").over(Window.partitionBy("src", "m", "i"))
     long = islands.withColumn("total", total).where(F.col("total") >= least).groupBy("src", "m", "chunk").agg(F.bit_or("at").alias("long"))
-    met = near.join(long, ["src", "m", "chunk"], "left")
-    per = [F.max(F.when(F.col("m") == k, F.struct(F.col("c1"), F.col("c2"), F.coalesce("long", F.lit(0)).alias("long")))).alias(f"b{k}") for k in range(n)]
-    return met.groupBy("chunk", "src").agg(*per)
+    return near.join(long, ["src", "m", "chunk"], "left").select("src", "m", "chunk", "c1", "c2", F.coalesce("long", F.lit(0)).alias("long"))
 
 
 def ordered_pass(df: DataFrame, source: str, ts: str, key: str, measures, least: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The rows in the order of (source, ts, key) with, for every measure k, ``v{k}``, its first and second difference ``d{k}`` and ``e{k}``, and ``stuck{k}``.
+    """The readings in the order of (source, ts, key), as one row for each measure of a source in a block: ``src, m, ids, v, d1, d2, mark, c1, c2, long``.
 
-    One range sort spreads a source of any size over as many tasks as it needs; each task goes once over its rows.
-    What the cuts part is put together from their borders, so cuts change nothing.  Differences are between usable
-    readings on the measure's scale, null where there are none before.
+    One range sort spreads a source of any size over as many tasks as it needs; each task goes once over its rows and
+    keeps a block of at most ``block_rows`` as arrays, so that later passes neither join nor move single readings.
+    What the cuts part is put together from their borders (``opened``), so cuts change nothing.
     """
     rows = df.select(
         F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("\0")).alias("src"), F.col(f"`{ts}`").cast("double").alias("ts"), F.col(f"`{key}`").cast("bigint").alias("id"),
@@ -163,21 +148,20 @@ def ordered_pass(df: DataFrame, source: str, ts: str, key: str, measures, least:
     )
     by = ["src", "ts", "id"]
     placed = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-    fields = {"string": "string", "int64": "bigint", "double": "double", "float": "float", "int8": "tinyint", "bool": "boolean"}
-    schema = ", ".join(f"{f.name} {fields[str(f.type)]}" for f in SCHEMA(measures))
-    done = materialize(placed.mapInArrow(_pass(measures, least, block_rows), schema), "ordered")
-    borders = done.where("m is not null").select("src", "chunk", *BORDER)
-    carried = materialize(_carried(borders, least, len(measures)), "borders")
-    own = done.where("m is null").drop(*BORDER)
-    met = join_small(own, carried, ["chunk", "src"], carried.count(), "left")
-    out = {}
-    for k, m in enumerate(measures):
-        b, mark = F.col(f"b{k}"), F.col(f"k{k}").cast("int")
-        x, d1, d2 = m.scale(F.col(f"v{k}")), F.col(f"d{k}").cast("double"), F.col(f"e{k}").cast("double")
-        at = mark.bitwiseAND(3)
-        out[f"d{k}"] = F.when(at == 1, x - b["c1"]).otherwise(d1)
-        out[f"e{k}"] = F.when(at == 1, x - 2 * b["c1"] + b["c2"]).when(at == 2, d1 - (x - d1 - b["c1"])).otherwise(d2)
-        joined = F.coalesce(mark.bitwiseAND(b["long"]) > 0, F.lit(False))
-        out[f"stuck{k}"] = (mark.bitwiseAND(4) > 0) | joined
-    return met.select("id", "src", *[f"v{k}" for k in range(len(measures))], *[c.alias(n) for n, c in out.items()])
-
+    done = materialize(placed.mapInArrow(_pass(measures, least, block_rows), SEGMENT), "ordered")
+    carried = materialize(_carried(done.where("lead_n is not null").select("src", "m", "chunk", *BORDER), least), "borders")
+    return join_small(done.drop(*BORDER), carried, ["src", "m", "chunk"], carried.count(), "left").drop("chunk")
+
+
+def opened(r, measure) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(v, usable, x, d1, d2, stuck) of a row of ``ordered_pass``; a difference to nothing is NaN."""
+    v, mark = np.asarray(r.v, dtype=np.float64), np.frombuffer(r.mark, dtype=np.int8)
+    usable, x = measure.scaled(v)
+    d1, d2 = (np.array(d, dtype=np.float64) for d in (r.d1, r.d2))
+    c1, c2 = (np.nan if c is None else c for c in (r.c1, r.c2))
+    first, second = (np.flatnonzero(mark & 3 == k) for k in (1, 2))
+    d1[first] = x[first] - c1
+    d2[first] = x[first] - 2 * c1 + c2
+    d2[second] = d1[second] - (x[second] - d1[second] - c1)
+    joined = 0 if r.long is None or r.long != r.long else int(r.long)
+    return v, usable, x, d1, d2, (mark & (STUCK | joined)) > 0
