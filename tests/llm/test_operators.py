@@ -78,12 +78,36 @@ def test_no_documents(spark):
 
 def test_gear_rolls():
     codes = S.code_points("abcąž😀" * 40)
-    g = S.gear(codes[:1]), S.gear(codes)
-    h = np.uint64(0)
+    whole = S.gear(codes)
     with np.errstate(over="ignore"):
-        for i, c in enumerate(codes):
-            h = (h << np.uint64(1)) + S.gear(codes[i : i + 1])[0]
-            assert h == g[1][i]
+        for i in range(len(codes)):
+            h = np.uint64(0)
+            for c in codes[max(0, i - S.GEAR + 1) : i + 1]:
+                h = (h << np.uint64(1)) + S.gear(np.array([c]))[0]
+            assert h == whole[i]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_any_span_holds_a_whole_chunk(seed):
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    for _ in range(60):
+        shared, lengths = word(200), set()
+        texts = [word(rng.randrange(300)) + shared + word(rng.randrange(300)) for _ in range(2)]
+        some = []
+        for t in texts:
+            codes = S.code_points(t)
+            start, stop = S.chunks(codes, np.arange(len(codes)), np.full(len(codes), len(codes)), 200)
+            at = t.index(shared)
+            some.append({t[a:b] for a, b in zip(start, stop) if at <= a and b <= at + 200})
+            lengths |= set((stop - start).tolist())
+        assert some[0] & some[1] and min(lengths) >= S.GEAR + S.least_chunk(200)
+    assert len(lengths) > 1
+
+
+def test_extended_to_both_sides():
+    a, b = S.code_points("xxabcdefyy"), S.code_points("abcdefz")
+    assert S.met_span(a, b, 4, 2) == 6 and S.met_span(a, b, 2, 0) == 6 and S.met_span(a, b, 0, 0) == 0
 
 
 # ---- hidden duplicates

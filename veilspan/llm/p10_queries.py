@@ -18,4 +18,7 @@ def p10_shared_share(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p10_found": p10_found, "p10_shared_share": p10_shared_share}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p10_found": """WITH g AS (SELECT doc_id, unnest(list_transform(range(1, len(text) - 198), lambda i: md5_number(substr(text, i, 200)))) AS h FROM documents WHERE len(text) >= 200), d AS (SELECT DISTINCT doc_id, h FROM g)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM d a JOIN d b ON a.h = b.h AND a.doc_id < b.doc_id""",
+}
