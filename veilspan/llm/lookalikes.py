@@ -205,14 +205,22 @@ class Former:
         """The consistent form."""
         if text.isascii() and text.isprintable():
             return text
-        while (new := WORD.sub(self._word, self.flat(text))) != text:
+        while True:
+            flat = self.flat(text)
+            new = WORD.sub(self._word, flat) if _several(flat) else flat
+            if new == text:
+                return text
             text = new
-        return text
+
+
+def _several(text: str) -> bool:
+    """Whether a text has letters of several alphabets, so that a word could mix them."""
+    return not text.isascii() and len({k for k in map(alphabet, set(text)) if k}) > 1
 
 
 def mixed(text: str) -> bool:
     """Whether a word mixes alphabets."""
-    return any(len({k for k in map(alphabet, m.group()) if k}) > 1 for m in WORD.finditer(text) if not m.group().isascii())
+    return _several(text) and any(len({k for k in map(alphabet, m.group()) if k}) > 1 for m in WORD.finditer(text) if not m.group().isascii())
 
 
 def code_point_counts(df: DataFrame, *columns: str) -> dict[str, int]:

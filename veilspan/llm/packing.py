@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -90,21 +91,27 @@ def _numbered(labels: Labels) -> Labels:
     return labels
 
 
+@lru_cache(maxsize=2 * PAIRED)
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def exchange(labels: Labels, loose: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Swap none, one or two items of a container against one or two loose ones that fill it better, until none do; what is loose then."""
     while len(loose) and (labels >= 0).any():
         inside = np.flatnonzero(labels >= 0)
+        fill = np.bincount(labels[inside], weights=sizes[inside]).astype(np.int64)
+        bins = np.flatnonzero(fill < capacity)  # nothing fills a full container better
+        inside = inside[fill[labels[inside]] < capacity]
         inside = inside[np.argsort(labels[inside], kind="stable")]
-        bins = int(labels[inside[-1]]) + 1
-        fill = np.bincount(labels[inside], weights=sizes[inside], minlength=bins).astype(np.int64)
         two = np.flatnonzero(labels[inside][1:] == labels[inside][:-1])
-        none, lone = np.full(bins, -1), np.full(len(inside), -1)
+        none, lone = np.full(len(bins), -1), np.full(len(inside), -1)
         out_a, out_b = np.concatenate((none, inside, inside[two])), np.concatenate((none, lone, inside[two + 1]))
-        at = np.concatenate((np.arange(bins), labels[inside], labels[inside[two]]))
+        at = np.concatenate((bins, labels[inside], labels[inside[two]]))
         gone = np.where(out_a >= 0, sizes[out_a], 0) + np.where(out_b >= 0, sizes[out_b], 0)
         room = capacity - fill[at] + gone
         few = loose[np.argsort(sizes[loose], kind="stable")]
-        i, j = np.triu_indices(min(len(few), PAIRED), 1)
+        i, j = _pairs(min(len(few), PAIRED))
         in_a, in_b = np.concatenate((few, few[i])), np.concatenate((np.full(len(few), -1), few[j]))
         come = sizes[in_a] + np.where(in_b >= 0, sizes[in_b], 0)
         order = np.argsort(come, kind="stable")

@@ -15,7 +15,7 @@ EMBED, HIDDEN = 24, 40
 #: Characters of a window and of the part it shares with the next.
 WINDOW, OVERLAP = 160, 64
 #: Characters scored at once.
-BATCH_CHARS = 60_000
+BATCH_CHARS = 30_000
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "tagger_weights.npz")
 # Fixed value: the letters and signs with an embedding of their own; all others share one by kind.
 LETTERS = " \t\n!\"#$%&'()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]_abcdefghijklmnopqrstuvwxyz{|}~ąčęėįšųūžĄČĘĖĮŠŲŪŽäöüßÄÖÜéñç„“”–€"
@@ -31,8 +31,18 @@ def _code(c: str) -> int:
     return CODES[c]
 
 
+#: The code of each code point that was met, 0 of all others.
+_KNOWN = np.zeros(0x110000, dtype=np.int16)
+
+
 def encode(text: str) -> np.ndarray:
-    return np.fromiter(map(_code, text), dtype=np.int32, count=len(text))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    out = _KNOWN[points]
+    if not out.all():
+        for p in np.unique(points[out == 0]).tolist():
+            _KNOWN[p] = _code(chr(p))
+        out = _KNOWN[points]
+    return out.astype(np.int32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -195,62 +205,107 @@ def load(path: str = WEIGHTS) -> dict[str, np.ndarray]:
         return {k: f[k].astype(np.float32) for k in f.files}
 
 
-def _viterbi(em: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    steps, n, _ = em.shape
-    back = np.empty((steps, n, TAGS), np.int8)
-    best = em[0]
-    for t in range(1, steps):
-        s = best[:, :, None] + trans
-        back[t] = s.argmax(1)
-        m = mask[t][:, None]
-        best = np.where(m, s.max(1) + em[t], best)
-    out = np.zeros((steps, n), np.int8)
-    at = best.argmax(1)
-    rows = np.arange(n)
-    for t in range(steps - 1, -1, -1):
-        out[t] = at
-        if t:
-            at = np.where(mask[t], back[t][rows, at], at)
-    return out
+class Scorer:
+    """The trained network for decoding: gates and states stand as rows, texts as columns, so that every step works on whole rows in place.
+
+    The letters' share of the gates is looked up, and the halves in the gates' sigmoids are in the weights.
+    """
+
+    def __init__(self, w: dict[str, np.ndarray]) -> None:
+        half = np.concatenate((np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN))).astype(np.float32)
+        self.ways = []
+        for k, d in enumerate("fb"):
+            letters = np.ascontiguousarray(((w["E"] @ w[f"W{d}"] + w[f"c{d}"]) * half).T)
+            self.ways.append((letters, np.ascontiguousarray((w[f"U{d}"] * half).T), np.ascontiguousarray(w["O"][k * HIDDEN : (k + 1) * HIDDEN].T)))
+        self.bias, self.trans = w["o"], w["T"]
+
+    def emissions(self, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(steps, TAGS, texts), and how many texts have a character at each step; the texts come longest first."""
+        x, _ = _pad(codes)
+        steps, n = x.shape
+        alive = np.searchsorted([-len(c) for c in codes], -np.arange(steps), "left")
+        out = np.empty((steps, TAGS, n), np.float32)
+        out[:] = self.bias[:, None]
+        for (letters, within, to), order in zip(self.ways, (range(steps), range(steps - 1, -1, -1))):
+            h, c = np.zeros((HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32)
+            for t in order:
+                k = int(alive[t])
+                z = within @ h[:, :k]
+                z += letters[:, x[t, :k]]
+                np.tanh(z, out=z)
+                gates = z[: 3 * HIDDEN]
+                gates *= 0.5
+                gates += 0.5
+                i, f, o, g = (z[j * HIDDEN : (j + 1) * HIDDEN] for j in range(4))
+                cell = c[:, :k]
+                cell *= f
+                i *= g
+                cell += i
+                np.tanh(cell, out=g)
+                np.multiply(o, g, out=h[:, :k])
+                out[t, :, :k] += to @ h[:, :k]
+        return out, alive
+
+    def decode(self, em: np.ndarray, alive: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+        """The best tags of each text (Viterbi)."""
+        steps, _, n = em.shape
+        back = np.zeros((steps, TAGS, n), np.int8)
+        best = em[0].copy()
+        for t in range(1, steps):
+            k = int(alive[t])
+            top, at = best[0, :k] + self.trans[0][:, None], back[t, :, :k]
+            for j in range(1, TAGS):
+                other = best[j, :k] + self.trans[j][:, None]
+                at[other > top] = j
+                np.maximum(top, other, out=top)
+            best[:, :k] = top + em[t, :, :k]
+        out = np.zeros((steps, n), np.int8)
+        at, columns = best.argmax(0), np.arange(n)
+        for t in range(steps - 1, -1, -1):
+            k = int(alive[t])
+            out[t, :k] = at[:k]
+            if t:
+                at[:k] = back[t, at[:k], columns[:k]]
+        return [out[:m, k] for k, m in enumerate(lengths)]
 
 
 def tag(w: dict, texts: list[str]) -> list[np.ndarray]:
     """The tags of each text: overlapping windows are scored, blended where they overlap, and decoded over the whole text at once."""
+    scorer = Scorer(w)
     out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(texts)
-    order = sorted((k for k in range(len(texts)) if texts[k]), key=lambda k: len(texts[k]))
+    order = sorted((k for k in range(len(texts)) if texts[k]), key=lambda k: -len(texts[k]))
     at = 0
     while at < len(order):
-        group = [order[at]]
         longest = len(texts[order[at]])
-        while at + len(group) < len(order) and (len(group) + 1) * len(texts[order[at + len(group)]]) <= BATCH_CHARS:
-            group.append(order[at + len(group)])
+        group = order[at : at + max(1, BATCH_CHARS // longest)]
         at += len(group)
         codes = [encode(texts[k]) for k in group]
-        longest = max(map(len, codes))
         if longest <= WINDOW:
-            x, mask = _pad(codes)
-            em, _ = _emissions(w, x, mask)
+            em, alive = scorer.emissions(codes)
         else:
-            starts = [(k, i) for k, c in enumerate(codes) for i in range(0, max(1, len(c) - OVERLAP), WINDOW - OVERLAP)]
-            em = np.zeros((longest, len(codes), TAGS), np.float32)
-            weight = np.zeros((longest, len(codes), 1), np.float32)
-            ramp = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
-            for s in range(0, len(starts), max(1, BATCH_CHARS // WINDOW)):
-                some = starts[s : s + max(1, BATCH_CHARS // WINDOW)]
-                x, mask = _pad([codes[k][i : i + WINDOW] for k, i in some])
-                part, _ = _emissions(w, x, mask)
-                for j, (k, i) in enumerate(some):
-                    n = min(WINDOW, len(codes[k]) - i)
-                    em[i : i + n, k] += part[:n, j] * ramp[:n]
-                    weight[i : i + n, k] += ramp[:n]
-            em /= np.maximum(weight, 1e-6)
-            _, mask = _pad(codes)
-        tags = _viterbi(em, mask, w["T"])
-        for k, (i, c) in enumerate(zip(group, codes)):
-            out[i] = tags[: len(c), k]
+            em, alive = _blended(scorer, codes)
+        for k, tags in zip(group, scorer.decode(em, alive, [len(c) for c in codes])):
+            out[k] = tags
     return out
 
 
+def _blended(scorer: Scorer, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Emissions of texts, longest first, from overlapping windows that fade into each other."""
+    longest, some = len(codes[0]), max(1, BATCH_CHARS // WINDOW)
+    em, weight = np.zeros((longest, TAGS, len(codes)), np.float32), np.zeros((longest, 1, len(codes)), np.float32)
+    ramp = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
+    starts = [(k, i) for k, c in enumerate(codes) for i in range(0, max(1, len(c) - OVERLAP), WINDOW - OVERLAP)]
+    starts.sort(key=lambda s: -min(WINDOW, len(codes[s[0]]) - s[1]))
+    for s in range(0, len(starts), some):
+        part, _ = scorer.emissions([codes[k][i : i + WINDOW] for k, i in starts[s : s + some]])
+        for j, (k, i) in enumerate(starts[s : s + some]):
+            n = min(WINDOW, len(codes[k]) - i)
+            em[i : i + n, :, k] += part[:n, :, j] * ramp[:n]
+            weight[i : i + n, :, k] += ramp[:n]
+    em /= np.maximum(weight, 1e-6)
+    return em, np.searchsorted([-len(c) for c in codes], -np.arange(longest), "left")
+
+
 def spans(tags: np.ndarray) -> list[tuple[int, int, str]]:
     """(start, end, type): a run of one type's tags; a new beginning ends the run before."""
     out, at = [], 0
