@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Endings of place names in Lithuanian, in the order they are tried.
 PLACE_ENDINGS = (" mieste", " miestas", " rajone", " rajonas", " apskrityje", " apskritis", " seniūnijoje", " seniūnija")
@@ -17,6 +21,44 @@ MOJIBAKE = (
 LITHUANIAN = "ąčęėįšųūž"
 
 
+# Words that are common in one language only.
+STOP_WORDS = {
+    "lt": ("ir", "yra", "kad", "su", "iš", "dėl", "nuo", "arba", "šis", "pagal", "už", "buvo", "prie", "apie"),
+    "en": ("the", "and", "of", "to", "is", "for", "with", "this", "that", "was", "are", "by", "from", "or"),
+    "de": ("der", "die", "und", "das", "ist", "den", "mit", "von", "für", "nicht", "ein", "auf", "des", "oder"),
+}
+
+
+def _among(words: tuple[str, ...]):
+    return lambda w: w.isin(*words)
+
+
+def language(c: Column) -> Column:
+    """The language with most stop words among the first 1,000 characters, in the order above; ``unknown`` if there are none."""
+    words = F.regexp_extract_all(F.lower(F.substring(c, 1, 1000)), F.lit(r"(\p{L}+)"))
+    n = {k: F.coalesce(F.size(F.filter(words, _among(ws))), F.lit(0)) for k, ws in STOP_WORDS.items()}
+    best = F.greatest(*n.values())
+    out = F.lit("unknown")
+    for k in reversed(n):
+        out = F.when((best > 0) & (n[k] == best), k).otherwise(out)
+    return F.when(c.isNull(), "unknown").otherwise(out)
+
+
+@F.pandas_udf(StringType())
+def composed(c: pd.Series) -> pd.Series:
+    """Accents composed with their letters (NFC)."""
+    return c.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
+def spaced(c: Column) -> Column:
+    """Blanks that a broken extraction set or lost around accented letters, put right in a fixed order."""
+    low, any_ = LITHUANIAN.replace("č", ""), "ąęėįšųūžĄĘĖĮŠŲŪŽ"
+    c = F.regexp_replace(c, rf"(?U)(\w)\s{{2,}}([{low}])", "$1 $2")
+    c = F.regexp_replace(c, rf"(?U)([{low}])\s{{2,}}(\w)", "$1 $2")
+    c = F.regexp_replace(c, rf"(?U)([{any_}])\s*\n\s*([a-z{low}])", "$1$2")
+    return F.regexp_replace(c, rf"([{any_}])([A-Za-z])", "$1 $2")
+
+
 def strip(c: Column) -> Column:
     """Without blank ends of any kind."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -67,6 +109,7 @@ def base_name(c: Column) -> Column:
     cut = lambda k, end: F.concat(F.substring(n, F.lit(1), size - k), F.lit(end))
     stem = F.substring(low, F.lit(1), size - 2)
     masculine = low.rlike(r"^(?:toma|jona|petra|antana)i$") | ((F.length(stem) >= 3) & ~stem.rlike("(?:ij|ar|er)$"))
+    feminine = low.rlike("(?:a|ė|ija|ana|ina)$")
     titles = ("ponas", "ponia", "p.", "ponai", "ponioms", "daktaras", "daktarė", "dr.", "prof.", "inžinierius", "inžinierė", "ing.", "magistras", "magistrė", "mag.")
     return (
         F.when(low.isin(*titles), n)
@@ -77,5 +120,6 @@ def base_name(c: Column) -> Column:
         .when(low.endswith("ei"), cut(2, "ė"))
         .when(low.endswith("iau"), cut(3, "ius"))
         .when(low.endswith("ai") & (size > 3) & masculine, cut(2, "as"))
+        .when(low.endswith("e") & (size > 2) & feminine, cut(1, "a"))
         .otherwise(n)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.operators.skew import split_join
+from veilspan.session import materialize
 
 #: Integer keys in one bucket; runs are cut at bucket borders, so a bucket holds at most WIDTH parents.
 WIDTH = 256
@@ -60,7 +61,7 @@ def find_orphans(children: DataFrame, key: str, at: str, parents: DataFrame, par
     death time was always there or never died.  Repeated rows are all reported;
     with no parents every reference is absent.  Rows of hot keys are not shuffled.
     """
-    refs = _bucketed(children, key)
+    refs = materialize(_bucketed(children, key), "refs")  # keys are taken apart once
     met = split_join(refs, key_runs(parents, parent_key, born, died), ["shape", "bucket"], "left")
     run = F.try_element_at(F.filter("runs", lambda r: r["start"] <= F.col("k")), F.lit(-1))
     met = met.withColumn("run", run)

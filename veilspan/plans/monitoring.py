@@ -61,7 +61,8 @@ def trend_half_split(spark, root):
 
 def _rolled(spark, root, seconds, most):
     rows = M.rolling(_series(spark, root), seconds, most)
-    return rows.withColumns({c: F.round(c, 9) for c in ("mean", "std")})
+    # Means of few decimals often end in a 5 there; the last bit of a sum must not decide how it is rounded.
+    return rows.withColumns({c: F.round(F.col(c) + 1e-13, 9) for c in ("mean", "std")})
 
 
 def rolling_stats_1min(spark, root):
@@ -76,9 +77,13 @@ def rolling_stats_1hour(spark, root):
     return _rolled(spark, root, 3600, 3600)
 
 
+def limits(spark, without: tuple[str, ...] = ()):
+    """The alert thresholds, less those of metrics that are named."""
+    return spark.createDataFrame([t for t in THRESHOLDS if t[0] not in without], "metric string, min_value double, max_value double, change_threshold double, sample_size int")
+
+
 def threshold_alerts(spark, root):
-    limits = spark.createDataFrame(THRESHOLDS, "metric string, min_value double, max_value double, change_threshold double, sample_size int")
-    return M.threshold_alerts(_series(spark, root), limits)
+    return M.threshold_alerts(_series(spark, root), limits(spark))
 
 
 def anomaly_rollup(spark, root):
@@ -130,7 +135,7 @@ def _rolling_sql(seconds: int, most: int) -> str:
     return f"""WITH {_S}, l AS (
   SELECT *, list(struct_pack(t := ts, v := value)) OVER (PARTITION BY metric ORDER BY ts, id ROWS BETWEEN {most - 1} PRECEDING AND CURRENT ROW) AS l FROM s
 ), v AS (SELECT *, list_transform(list_filter(l, lambda x: x.t >= ts - {seconds}), lambda x: x.v) AS v FROM l)
-SELECT metric, id, CAST(len(v) AS BIGINT) AS n, round(list_avg(v), 9) AS mean, list_min(v) AS low, list_max(v) AS high, round(coalesce(list_stddev_samp(v), 0.0), 9) AS std, value AS last FROM v"""
+SELECT metric, id, CAST(len(v) AS BIGINT) AS n, round(list_avg(v) + 1e-13, 9) AS mean, list_min(v) AS low, list_max(v) AS high, round(coalesce(list_stddev_samp(v), 0.0) + 1e-13, 9) AS std, value AS last FROM v"""
 
 
 ORACLE = {
