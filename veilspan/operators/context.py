@@ -35,6 +35,12 @@ BEFORE = {
 AFTER = {"person_name": (r"\s+(born|gimęs|gimusi)",), "organization": (r"\s+(Ltd\.|UAB|AB|VšĮ)",)}
 SECTION_EFFECT = {"header": -0.1, "footer": -0.2, "table_header": -0.3, "form_field": 0.2, "legal_text": -0.1}
 BASE = 0.7
+# Words that head a part of a document rather than name a person; what tells that a context is about the document itself.
+STRUCTURAL = ("section", "skyrius", "chapter", "article", "straipsnis", "paragraph", "paragrafas", "figure", "pav.", "table", "lentelė", "appendix", "priedas")
+METADATA = (
+    r"(Document|Dokumentas)\s+(Number|Numeris|Nr\.)", r"(Page|Puslapis)\s+\d+", r"(Version|Versija)\s+\d+", r"(Date|Data):\s*\d", r"(Reference|Nuoroda):\s*[A-Z0-9]", r"(File|Failas):\s*\w+\.(pdf|doc|docx)",
+)
+QUESTIONS = ("when", "where", "what", "which", "how")
 
 
 def _any(c: Column, patterns) -> Column:
@@ -64,16 +70,32 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
+def is_metadata(context: Column) -> Column:
+    return reduce(lambda a, b: a | b, [context.rlike("(?iuU)" + p) for p in METADATA])
+
+
 def context_score(text: Column, category: Column, context: Column, section_: Column) -> Column:
-    """BASE, less for places, headings and misleading words before, more for titles and labels, within 0 and 1."""
+    """BASE, less for places, headings, misleading words before and metadata, more for titles and labels, within 0 and 1."""
     near = lambda before, after: F.rlike(context, F.concat(F.lit("(?iuU)" + before), quoted(text), F.lit(after)))
     zero = F.lit(0.0)
-    total = F.lit(BASE) + F.when((category == "person_name") & text.isin(GEOGRAPHIC_EXCLUSIONS), -0.5).otherwise(zero)
+    heading = (category == "person_name") & F.lower(text).isin(*STRUCTURAL)
+    numbered = F.rlike(context, F.concat(F.lit(r"(?iumU)^\s*"), quoted(text), F.lit(r"\s*\d+"))) | F.coalesce(section_.isin("header", "table_header"), F.lit(False))
+    total = F.lit(BASE) + F.when((category == "person_name") & text.isin(GEOGRAPHIC_EXCLUSIONS), -0.5).otherwise(zero) + F.when(heading & numbered, -0.4).otherwise(zero)
     for kind, words in AGAINST.items():
-        total += F.when(category == kind, sum((F.when(near(f"({w})\\s+", ""), -0.3).otherwise(zero) for w in words), zero)).otherwise(zero)
+        total += F.when((category == kind) & ~heading, sum((F.when(near(f"({w})\\s+", ""), -0.3).otherwise(zero) for w in words), zero)).otherwise(zero)
     for kind in BEFORE:
         signs = [near(p, "") for p in BEFORE[kind]] + [near("", p) for p in AFTER.get(kind, ())]
         total += F.when(category == kind, sum((F.when(s, 0.2).otherwise(zero) for s in signs), zero)).otherwise(zero)
     for k, v in SECTION_EFFECT.items():
         total += F.when(section_ == k, v).otherwise(zero)
+    total += F.when(is_metadata(context), -0.4).otherwise(zero)
     return F.least(F.lit(1.0), F.greatest(zero, total))
+
+
+def flags(text: Column, category: Column, context: Column, section_: Column, score: Column) -> Column:
+    """What speaks against a detection, in a fixed order."""
+    words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    return F.array_compact(F.array(
+        F.when(score < 0.4, "low_confidence"), F.when(section_.isin("header", "footer", "table_header"), "structural_element"), F.when(is_metadata(context), "document_metadata"),
+        F.when((category == "person_name") & (words > 3), "overly_long_name"), F.when((category == "organization") & F.lower(text).isin(*QUESTIONS), "common_word"),
+    ))

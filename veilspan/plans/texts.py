@@ -77,12 +77,27 @@ def section_classes(spark, root):
     return rows.select(C.section(F.col("context"), at).alias("section")).groupBy("section").agg(F.count(F.lit(1)).alias("examples"))
 
 
-def context_scores(spark, root):
+def _validated(spark, root):
+    """Training examples of the kinds that contexts are scored for, with section and score."""
     rows = table(spark, root, "training_examples", "id", "detection_text", "category", "context").where("context is not null")
     kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
     at = F.greatest(F.lit(0), F.instr("context", F.col("detection_text")) - 1)
     placed = rows.withColumns({"kind": F.try_element_at(kinds, F.col("category")), "section": C.section(F.col("context"), at)}).where("kind is not null")
-    return placed.select("id", F.round(C.context_score(F.col("detection_text"), F.col("kind"), F.col("context"), F.col("section")), 6).alias("score"))
+    return placed.withColumn("score", F.round(C.context_score(F.col("detection_text"), F.col("kind"), F.col("context"), F.col("section")), 6))
+
+
+def context_scores(spark, root):
+    return _validated(spark, root).select("id", "score")
+
+
+def validation_flags(spark, root):
+    """What speaks against each example in its context."""
+    found = C.flags(F.col("detection_text"), F.col("kind"), F.col("context"), F.col("section"), F.col("score"))
+    return _validated(spark, root).select("id", F.array_join(found, ",").alias("flags"))
+
+
+def metadata_contexts(spark, root):
+    return table(spark, root, "training_examples", "id", "context").where(C.is_metadata(F.col("context"))).select("id")
 
 
 def learn_candidates(spark, root):
@@ -130,7 +145,7 @@ def balanced_sample(spark, root, seed: int = 42):
 
 
 NAMES = (
-    "person_name_valid", "swift_valid", "organization_valid", "brand_filter", "term_anti_join", "doc_type_classify", "features_text", "features_pattern", "features_document", "features_context", "section_classes", "context_scores",
+    "person_name_valid", "swift_valid", "organization_valid", "brand_filter", "term_anti_join", "doc_type_classify", "features_text", "features_pattern", "features_document", "features_context", "section_classes", "context_scores", "validation_flags", "metadata_contexts",
     "learn_candidates", "pattern_precision", "salutation_base_name", "repaired_text", "extraction_scores", "title_texts", "balanced_sample",
 )
 QUERIES = {n: globals()[n] for n in NAMES}
@@ -159,7 +174,57 @@ _TF = {
 }
 _DF = {f"is_{k}_document": f"coalesce({_FL(f'lower(doc_type) = {chr(39)}{k}{chr(39)}')}, 0.0)" for k in X.DOCUMENT_KINDS} | {f"is_{k}_language": f"coalesce({_FL(f'lang = {chr(39)}{k}{chr(39)}')}, 0.0)" for k in X.LANGUAGES}
 _DF |= {"document_length": "CAST(n_chars AS DOUBLE)", "is_short_document": _FL("n_chars < 1000"), "is_medium_document": _FL("n_chars >= 1000 AND n_chars < 10000"), "is_long_document": _FL("n_chars >= 10000")}
+def _re2(p: str) -> str:
+    """An expression for an engine without classes of all scripts, for texts of which only whether it matches is asked."""
+    edge = r"(?:^|$|[^\p{L}\p{N}_])"
+    out, inside, k = [], False, 0
+    while k < len(p):
+        c = p[k]
+        if c == "\\" and p[k + 1] in "sdwb":
+            name = {"s": r"\s\x85\p{Z}", "d": r"\p{Nd}", "w": r"\p{L}\p{N}_", "b": edge}[p[k + 1]]
+            out.append(name if inside or p[k + 1] == "b" else f"[{name}]")
+            k += 2
+            continue
+        inside = c == "[" or inside and c != "]"
+        out.append(c)
+        k += 1
+    return "".join(out).replace("'", "''")
+
+
+def _hits(text: str, p: str) -> str:
+    """SQL that tells whether a pattern of sections fits; what must not follow is asked apart, line by line."""
+    if "(?!" not in p:
+        return f"regexp_matches({text}, '(?im){_re2(p)}')"
+    a, b = p.index("(?!"), p.index("(?!") + 3
+    depth = 1
+    while depth:
+        depth += {"(": 1, ")": -1}.get(p[b], 0) if p[b - 1] != "\\" else 0
+        b += 1
+    yes, no = p[:a] + p[b:], p[:a] + p[a + 3 : b - 1]
+    return f"len(list_filter(string_split({text}, chr(10)), lambda l: regexp_matches(l, '(?im){_re2(yes)}') AND NOT regexp_matches(l, '(?im){_re2(no)}'))) > 0"
+
+
+_IN_LINE = " ".join(f"WHEN {' OR '.join(_hits('line', p) for p in ps)} THEN '{k}'" for k, ps in C.SECTIONS.items())
+_IN_NEAR = " ".join(f"WHEN {' OR '.join(_hits('near', p) for p in ps)} THEN '{k}'" for k, ps in C.SECTIONS.items() if k not in C.ANCHORED)
+_BESIDE = lambda before, after: f"regexp_matches(context, '(?i){_re2(before)}' || regexp_escape(t) || '{_re2(after)}')"
+_META = " OR ".join(f"regexp_matches(context, '(?i){_re2(p)}')" for p in C.METADATA)
+_HEAD = f"(kind = 'person_name' AND lower(t) IN {_list(C.STRUCTURAL)})"
+_SIGNS = [(-0.5, f"kind = 'person_name' AND t IN {_list(GEOGRAPHIC_EXCLUSIONS)}"), (-0.4, f"{_HEAD} AND (regexp_matches(context, '(?im){_re2('^[s]*'.replace('[s]', chr(92) + 's'))}' || regexp_escape(t) || '{_re2(chr(92) + 's*' + chr(92) + 'd+')}') OR coalesce(section IN ('header', 'table_header'), FALSE))")]
+_SIGNS += [(-0.3, f"kind = '{k}' AND NOT {_HEAD} AND {_BESIDE(f'({w})' + chr(92) + 's+', '')}") for k, ws in C.AGAINST.items() for w in ws]
+_SIGNS += [(0.2, f"kind = '{k}' AND {_BESIDE(p, '')}") for k, ps in C.BEFORE.items() for p in ps] + [(0.2, f"kind = '{k}' AND {_BESIDE('', p)}") for k, ps in C.AFTER.items() for p in ps]
+_SIGNS += [(v, f"section = '{k}'") for k, v in C.SECTION_EFFECT.items()] + [(-0.4, _META)]
+_PLACED = f"""x AS (SELECT id, detection_text AS t, context, CASE category {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items())} END AS kind, greatest(0, instr(context, detection_text) - 1) AS pos FROM training_examples WHERE context IS NOT NULL),
+l AS (SELECT *, list_last(string_split(substr(context, 1, pos), chr(10))) || string_split(substr(context, pos + 1), chr(10))[1] AS line, substr(context, greatest(1, pos - 99), 200) AS near FROM x),
+s AS (SELECT *, CASE {_IN_LINE} {_IN_NEAR} END AS section FROM l),
+v AS (SELECT *, round(least(1.0, greatest(0.0, CAST({C.BASE} AS DOUBLE) {' '.join(f'+ CASE WHEN {c} THEN CAST({v} AS DOUBLE) ELSE 0 END' for v, c in _SIGNS)})), 6) AS score FROM s WHERE kind IS NOT NULL)"""
 ORACLE = {
+    "section_classes": f"WITH {_PLACED} SELECT section, count(*) AS examples FROM s GROUP BY ALL",
+    "context_scores": f"WITH {_PLACED} SELECT id, score FROM v",
+    "validation_flags": f"""WITH {_PLACED} SELECT id, concat_ws(',', CASE WHEN score < 0.4 THEN 'low_confidence' END, CASE WHEN section IN ('header', 'footer', 'table_header') THEN 'structural_element' END, CASE WHEN {_META} THEN 'document_metadata' END,
+CASE WHEN kind = 'person_name' AND len(list_filter(regexp_split_to_array(t, '[\\s\\p{{Z}}]+'), lambda w: w <> '')) > 3 THEN 'overly_long_name' END, CASE WHEN kind = 'organization' AND lower(t) IN {_list(C.QUESTIONS)} THEN 'common_word' END) AS flags FROM v""",
+    "metadata_contexts": f"SELECT id FROM training_examples WHERE {_META}",
+    "title_texts": r"""WITH w AS (SELECT id, text, regexp_extract_all(lower(text), '\p{L}+|[^\p{L}]+') AS p FROM detection_results WHERE category = 'names' AND text IS NOT NULL)
+SELECT id, array_to_string(list_transform(p, lambda x: upper(x[1]) || x[2:]), '') AS titled FROM w""",
     "person_name_valid": f"""WITH t AS (SELECT id, text, {_STRIP} AS t FROM detection_results WHERE text IS NOT NULL AND category = 'names')
 SELECT id, len(t) BETWEEN 2 AND 100 AND NOT regexp_matches(t, '\\p{{Nd}}') AND NOT lower(t) IN {_list(sorted({*V.listed(GEOGRAPHIC_EXCLUSIONS), *V.listed(DOCUMENT_TERMS)}))} AND NOT text IN {_list(V.COMMON_ALL_CAPS_NON_NAMES)}
 AND NOT (starts_with(t, 'Nr.') OR starts_with(t, 'Tel.') OR starts_with(t, 'Ged.') OR starts_with(t, 'Vilniaus g.'))
