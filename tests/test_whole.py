@@ -44,20 +44,20 @@ def swept(rows, a, b):
 
 def test_counts(spark, root):
     rows = found()
-    assert {r.category: r.matches for r in QUERIES["pii_category_counts_all"](spark, root).collect()} == Counter(r[2] for r in rows)
-    assert {(r.lang, r.category): r.matches for r in QUERIES["pii_docs_by_lang_all"](spark, root).collect()} == Counter((LANGS[r[0]], r[2]) for r in rows)
-    assert {r.doc_id: r.matches for r in QUERIES["pii_topk_docs_all"](spark, root).collect()} == {2: None, **Counter(r[0] for r in rows)}
+    assert {r.category: r.matches for r in QUERIES["pii_category_counts"](spark, root).collect()} == Counter(r[2] for r in rows)
+    assert {(r.lang, r.category): r.matches for r in QUERIES["pii_docs_by_lang"](spark, root).collect()} == Counter((LANGS[r[0]], r[2]) for r in rows)
+    assert {r.doc_id: r.matches for r in QUERIES["pii_topk_docs"](spark, root).collect()} == {2: None, **Counter(r[0] for r in rows)}
 
 
 def test_spans(spark, root):
-    got = Counter(tuple(r) for r in QUERIES["pii_spans_all"](spark, root).collect())
+    got = Counter(tuple(r) for r in QUERIES["pii_spans"](spark, root).collect())
     assert got == Counter((i, p, c, n, t, a, b) for i, p, c, _, n, t, a, b, _, _ in found())
 
 
 def test_resolved(spark, root):
     kept = swept(found(), 6, 7)
-    assert sorted((r.doc_id, r.category, r.start, r.end) for r in QUERIES["span_dedupe_sweep_all"](spark, root).collect()) == sorted((r[0], r[2], r[6], r[7]) for r in kept)
-    whole = sorted((r.doc_id, r.full_start, r.full_end) for r in QUERIES["span_dedupe_full_match_all"](spark, root).collect())
+    assert sorted((r.doc_id, r.category, r.start, r.end) for r in QUERIES["span_dedupe_sweep"](spark, root).collect()) == sorted((r[0], r[2], r[6], r[7]) for r in kept)
+    whole = sorted((r.doc_id, r.full_start, r.full_end) for r in QUERIES["span_dedupe_full_match"](spark, root).collect())
     assert whole == sorted((r[0], r[8], r[9]) for r in swept(found(), 8, 9))
     report = {r.doc_id: (r.total, json.loads(r.by_category)) for r in QUERIES["redaction_report"](spark, root).collect()}
     assert report == {i: (sum(r[0] == i for r in kept), Counter(r[2] for r in kept if r[0] == i)) for i in {r[0] for r in kept}}
@@ -79,7 +79,7 @@ def test_longest(spark, root):
 def test_pairs(spark, root):
     rows = found()
     want = Counter(tuple(sorted((a[2], b[2]))) for a in rows for b in rows if a[0] == b[0] and a[3] < b[3] and a[6] < b[7] and b[6] < a[7])
-    assert {(r.category_a, r.category_b): r.pairs for r in QUERIES["overlapping_spans_all"](spark, root).collect()} == want
+    assert {(r.category_a, r.category_b): r.pairs for r in QUERIES["overlapping_spans"](spark, root).collect()} == want
 
 
 def test_keywords(spark, root):
@@ -92,7 +92,7 @@ def test_keywords(spark, root):
 def test_all_cities(spark, tmp_path):
     texts = [("Šiauliai, PANEVĖŽYS; Telšiai Telšiai xUtena Klaipėdą",), ("marijampolė_ Marijampolė",), (None,)]
     spark.createDataFrame(texts, "text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.city: r.n for r in QUERIES["city_scan_all"](spark, str(tmp_path)).collect()} == {"šiauliai": 1, "panevėžys": 1, "telšiai": 2, "marijampolė": 1}
+    assert {r.city: r.n for r in QUERIES["city_scan"](spark, str(tmp_path)).collect()} == {"šiauliai": 1, "panevėžys": 1, "telšiai": 2, "marijampolė": 1}
 
 
 def test_candidates_of_any_length(spark, tmp_path):

@@ -79,10 +79,28 @@ CATEGORY_SPECIFICITY = {
 DEFAULT_SPECIFICITY = 50
 
 
-def catalogue() -> list[tuple[str, str, str, bool]]:
-    """(name, category, expression, ignore case) of the patterns in force, in order."""
-    merged = {k: (k, p, False) for k, p in BASE_PATTERNS.items()}
-    merged |= {k: (c, p, True) for k, (c, p) in LANGUAGE_PATTERNS.items()}
+# What the built-in set, used where no settings can be read, has instead of the base patterns; None leaves one out.
+FALLBACK = {
+    "lithuanian_mobile_prefixed": r"Tel\.\s*(?:nr\.\s*:?\s*)?\+370\s+\d{3}\s+\d{5}\b",
+    "lithuanian_phone_generic": r"\+370\s+\d{3}\s+\d{5}\b",
+    "lithuanian_iban": r"\bLT\d{2}(?:\s?\d{4}){4}\b",
+    "ssn": r"\b\d{3}[-]?\d{2}[-]?\d{4}\b",
+    "credit_card": r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b",
+    "lithuanian_license_plate": r"\b[A-Z]{3}[-\s]?\d{3}\b",
+    "UNKNOWN_ID": r"\b[A-Z]{2,5}(?:-|\s)?\d{4,}\b",
+    "credit_cards": None, "iban_eu": None, "lithuanian_car_plate": None, "LITHUANIAN_PHONE_NUMBER": None, "lithuanian_city_simple": None, "ssns": None,
+}
+
+
+def catalogue(strict_case: bool = False, fallback: bool = False) -> list[tuple[str, str, str, bool]]:
+    """(name, category, expression, ignore case) of the patterns in force, in order.
+
+    With ``strict_case`` the language patterns heed case, so that two common words are no name; ``fallback`` takes the
+    built-in base set.
+    """
+    base = {k: p for k, p in (BASE_PATTERNS | FALLBACK).items() if p is not None and FALLBACK.get(k, p) is not None} if fallback else BASE_PATTERNS
+    merged = {k: (k, p, False) for k, p in base.items()}
+    merged |= {k: (c, p, not strict_case) for k, (c, p) in LANGUAGE_PATTERNS.items()}
     return [(k, *v) for k, v in merged.items()]
 
 

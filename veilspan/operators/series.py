@@ -69,7 +69,7 @@ def _window():
     return Window.partitionBy("metric", "chunk").orderBy("ts", "id")
 
 
-def zscores(series: DataFrame, sensitivity: str = "medium") -> DataFrame:
+def zscores(series: DataFrame, sensitivity: str = "medium", *keep: str) -> DataFrame:
     """Points far from the HISTORY points before them: ``metric, id, value, z, kind, severity``."""
     w = _window().rowsBetween(-HISTORY, -1)
     scored = chunked(series, rows=HISTORY).withColumns({"n": F.count("value").over(w), "mean": F.avg("value").over(w), "std": F.stddev_samp("value").over(w)})
@@ -77,7 +77,7 @@ def zscores(series: DataFrame, sensitivity: str = "medium") -> DataFrame:
     severity = F.lit("low")
     for bound, name in reversed(SEVERITY):
         severity = F.when(F.abs("z") > bound, name).otherwise(severity)
-    return scored.where(F.abs("z") > SENSITIVITY[sensitivity]).select("metric", "id", "value", "z", F.when(F.col("z") > 0, "SPIKE").otherwise("DROP").alias("kind"), severity.alias("severity"))
+    return scored.where(F.abs("z") > SENSITIVITY[sensitivity]).select("metric", *keep, "id", "value", "z", F.when(F.col("z") > 0, "SPIKE").otherwise("DROP").alias("kind"), severity.alias("severity"))
 
 
 def range_outliers(series: DataFrame) -> DataFrame:

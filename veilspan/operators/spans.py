@@ -55,12 +55,32 @@ def pattern_spans(text: Column, name: str, category: str, expression: str, ignor
     return F.flatten(F.transform(bound, spans))
 
 
-def find_spans(df: DataFrame, key: str, text: str, patterns: list[tuple[str, str, str, bool]] | None = None) -> DataFrame:
-    """One row per match: ``key`` and the fields of the span.  A narrow scan: one pass, no join, no shuffle."""
+def once(value: Column, f) -> Column:
+    """``f(value)`` where f names its argument more than once: bound as a variable, so that it is computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def doc_spans(df: DataFrame, key: str, text: str, patterns: list[tuple[str, str, str, bool]] | None = None) -> DataFrame:
+    """``key, whole, spans``: each text with all its matches as one array.  A narrow scan: one pass, no join, no shuffle.
+
+    Where a text has the marks themselves, other characters stand in for them while it is searched; offsets are the
+    same, and what is reported is the text's own.  Null texts have null spans.
+    """
     patterns = patterns or catalogue()
     spans = F.concat(*[pattern_spans(F.col("_t"), *p, i) for i, p in enumerate(patterns)])
-    plain = F.translate(text, OPEN + CLOSE, OTHER + OTHER).alias("_t")
-    return spread(df.where(F.col(text).isNotNull()).select(key, plain)).select(key, F.inline(spans))
+    stood = F.translate(text, OPEN + CLOSE, OTHER + OTHER).alias("_t")
+    found = spread(df.select(key, F.col(text).alias("whole"), stood)).select(key, "whole", spans.alias("spans"))
+    part = lambda a, n: F.substring("whole", a + 1, n)
+    own = lambda x: F.when(
+        F.col("whole").rlike(f"[{OPEN}{CLOSE}]"),
+        F.transform(x, lambda s: s.withField("full", part(s["full_start"], F.length(s["full"]))).withField("text", part(s["start"], s["end"] - s["start"]))),
+    ).otherwise(x)
+    return found.select(key, "whole", once(F.col("spans"), own).alias("spans"))
+
+
+def find_spans(df: DataFrame, key: str, text: str, patterns: list[tuple[str, str, str, bool]] | None = None) -> DataFrame:
+    """One row per match: ``key`` and the fields of the span."""
+    return doc_spans(df, key, text, patterns).select(key, F.inline("spans"))
 
 
 def category_counts(df: DataFrame, text: str, patterns: list[tuple[str, str, str, bool]], *by: str) -> DataFrame:
@@ -80,9 +100,32 @@ def confidence_level(confidence: Column) -> Column:
 
 def sweep(spans: Column, start: str = "start", end: str = "end") -> Column:
     """Of spans sorted by start and then longest first, each that begins at or after the last kept one's end."""
-    zero = F.struct(F.filter(spans, lambda _: F.lit(False)).alias("kept"), F.lit(-1).alias("last"))
-    step = lambda acc, s: F.when(s[start] >= acc["last"], F.struct(F.concat(acc["kept"], F.array(s)).alias("kept"), s[end].cast("int").alias("last"))).otherwise(acc)
-    return F.aggregate(spans, zero, step, lambda acc: acc["kept"])
+    def run(x: Column) -> Column:
+        zero = F.struct(F.filter(x, lambda _: F.lit(False)).alias("kept"), F.lit(-1).alias("last"))
+        step = lambda acc, s: F.when(s[start] >= acc["last"], F.struct(F.concat(acc["kept"], F.array(s)).alias("kept"), s[end].cast("int").alias("last"))).otherwise(acc)
+        return F.aggregate(x, zero, step, lambda acc: acc["kept"])
+
+    return once(spans, run)
+
+
+def swept(spans: Column) -> Column:
+    """Overlapping spans of one document: earliest first, longest first among those."""
+    return sweep(ordered(spans, lambda s: s["start"], lambda s: -s["end"], lambda s: s["ord"], lambda s: s["n"]))
+
+
+def swept_whole(spans: Column) -> Column:
+    """The same on the whole matches, with their end as ``full_end``; specificity only decides between equal matches."""
+    ended = F.transform(spans, lambda s: s.withField("full_end", s["full_start"] + F.length(s["full"])))
+    keys = (lambda s: s["full_start"], lambda s: -F.length(s["full"]), lambda s: -s["specificity"], lambda s: s["ord"], lambda s: s["n"])
+    return sweep(ordered(ended, *keys), "full_start", "full_end")
+
+
+def longest(spans: Column, confidence: str = "confidence") -> Column:
+    """Longest first, then most confident; kept if it touches nothing kept before."""
+    keys = (lambda s: s["start"] - s["end"], lambda s: -s[confidence], lambda s: s["ord"], lambda s: s["n"])
+    clash = lambda acc, s: F.exists(acc, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
+    run = lambda x: F.aggregate(x, F.filter(x, lambda _: F.lit(False)), lambda acc, s: F.when(clash(acc, s), acc).otherwise(F.concat(acc, F.array(s))))
+    return once(ordered(spans, *keys), run)
 
 
 def ordered(spans: Column, *keys) -> Column:
@@ -90,27 +133,22 @@ def ordered(spans: Column, *keys) -> Column:
     return F.transform(F.sort_array(F.transform(spans, lambda s: F.struct(*[k(s).alias(f"k{i}") for i, k in enumerate(keys)], s.alias("s")))), lambda x: x["s"])
 
 
-def dedupe_sweep(df: DataFrame, key: str) -> DataFrame:
-    """Overlapping spans of a document: earliest first, longest first among those."""
+def _gathered(df: DataFrame, key: str, resolve) -> DataFrame:
+    """Spans that stand in rows, gathered by document and resolved."""
     grouped = df.groupBy(key).agg(F.collect_list(F.struct(*[c for c in df.columns if c != key])).alias("s"))
-    return grouped.select(key, F.inline(sweep(ordered(F.col("s"), lambda s: s["start"], lambda s: -s["end"], lambda s: s["ord"], lambda s: s["n"]))))
+    return grouped.select(key, F.inline(resolve(F.col("s"))))
+
+
+def dedupe_sweep(df: DataFrame, key: str) -> DataFrame:
+    return _gathered(df, key, swept)
 
 
 def dedupe_full_match(df: DataFrame, key: str) -> DataFrame:
-    """The same on the whole matches; specificity only decides between equal matches."""
-    grouped = df.withColumn("full_end", F.col("full_start") + F.length("full")).groupBy(key).agg(F.collect_list(F.struct(*[c for c in df.columns if c != key], "full_end")).alias("s"))
-    keys = (lambda s: s["full_start"], lambda s: -F.length(s["full"]), lambda s: -s["specificity"], lambda s: s["ord"], lambda s: s["n"])
-    return grouped.select(key, F.inline(sweep(ordered(F.col("s"), *keys), "full_start", "full_end")))
+    return _gathered(df, key, swept_whole)
 
 
 def dedupe_longest(df: DataFrame, key: str, confidence: str = "confidence") -> DataFrame:
-    """Longest first, then most confident; kept if it touches nothing kept before."""
-    grouped = df.groupBy(key).agg(F.collect_list(F.struct(*[c for c in df.columns if c != key])).alias("s"))
-    keys = (lambda s: s["start"] - s["end"], lambda s: -s[confidence], lambda s: s["ord"], lambda s: s["n"])
-    zero = F.filter(F.col("s"), lambda _: F.lit(False))
-    clash = lambda acc, s: F.exists(acc, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
-    kept = F.aggregate(ordered(F.col("s"), *keys), zero, lambda acc, s: F.when(clash(acc, s), acc).otherwise(F.concat(acc, F.array(s))))
-    return grouped.select(key, F.inline(kept))
+    return _gathered(df, key, lambda s: longest(s, confidence))
 
 
 def dedupe_text(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veilspan.functions.patterns import CATEGORY_SPECIFICITY, DEFAULT_SPECIFICITY
 from veilspan.operators import quality as Q
+from veilspan.operators.spans import base_confidence
+from veilspan.plans import monitoring
 from veilspan.sources.tables import table
 
 
@@ -26,17 +29,17 @@ def category_distribution(spark, root):
     return _detections(spark, root).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-def low_confidence_insights(spark, root):
-    rows = _detections(spark, root).groupBy("category").agg(F.avg("ml_confidence").alias("avg")).where("avg < 0.85 and category is not null")
+def low_confidence_insights(spark, root, below: float = 0.75):
+    rows = _detections(spark, root).groupBy("category").agg(F.avg("ml_confidence").alias("avg")).where((F.col("avg") < below) & F.col("category").isNotNull())
     return rows.select("category", F.format_string("Low confidence for %s: %.2f", "category", "avg").alias("insight"))
 
 
 def overall_quality_health(spark, root):
-    """Mean confidence in percent, less 5 for each category below 0.7; a ladder of 85, 70 and 50."""
-    per = _detections(spark, root).groupBy("category").agg(F.avg("ml_confidence").alias("a"))
-    out = per.agg(F.avg("a").alias("m"), F.count_if(F.col("a") < 0.7).alias("weak"))
-    score = F.round(F.greatest(F.lit(0.0), F.col("m") * 100 - 5 * F.col("weak")), 6)
-    return out.select(score.alias("score"), F.when(score >= 85, "excellent").when(score >= 70, "good").when(score >= 50, "fair").otherwise("poor").alias("status"))
+    """Mean confidence, precision and recall over the categories in percent, less 5 for each high or critical anomaly of the last day; a ladder of 85, 70 and 50."""
+    per = Q.quality_by(_detections(spark, root), "category").agg(F.avg((F.col("avg_confidence") + F.col("precision") + F.col("recall")) / 3).alias("m"))
+    found = monitoring.system_health(spark, root).select((F.col("critical") + F.col("high")).alias("grave"))
+    score = F.round(F.greatest(F.lit(0.0), F.col("m") * 100 - 5 * F.col("grave")), 6)
+    return per.join(F.broadcast(found)).select(score.alias("score"), F.when(score >= 85, "excellent").when(score >= 70, "good").when(score >= 50, "fair").otherwise("poor").alias("status"))
 
 
 def ml_ratio(spark, root):
@@ -71,16 +74,19 @@ def confidence_proxy_metrics(spark, root):
 
 
 def ml_rule_corr(spark, root):
-    """Correlation of detected confidence and user rating over the last 1000 feedbacks that have both."""
-    rows = table(spark, root, "user_feedback", "id", "detected_confidence", "user_confidence_rating").where("detected_confidence is not null and user_confidence_rating is not null")
-    return rows.orderBy(F.desc("id")).limit(1000).agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("detected_confidence", "user_confidence_rating"), 9).alias("correlation"))
+    """Correlation of the model's and the rules' confidence over the last 100 detections that needed no fallback."""
+    rows = _detections(spark, root).where("ml_confidence is not null and not fallback_used")
+    known = F.create_map(*[F.lit(x) for kv in CATEGORY_SPECIFICITY.items() for x in kv])
+    rule = base_confidence(F.coalesce(F.try_element_at(known, F.coalesce("category", F.lit(""))), F.lit(DEFAULT_SPECIFICITY)))
+    last = rows.orderBy(F.desc("id")).limit(100).select("ml_confidence", rule.alias("rule"))
+    return last.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("ml_confidence", "rule"), 6).alias("correlation"))
 
 
-def model_evaluation(spark, root):
-    """Accuracy at 0.5 and the spread of confidence, with the deployment gate."""
+def model_evaluation(spark, root, baseline: float = 0.7):
+    """Accuracy at 0.5 and the spread of confidence, with the deployment gate: accurate, tested, and better than the baseline by a point."""
     rows = table(spark, root, "training_examples", "confidence_score", "is_true_positive").where("confidence_score is not null and is_true_positive is not null")
     out = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(((F.col("confidence_score") > 0.5) == F.col("is_true_positive")).cast("int")).alias("a"), F.avg("confidence_score").alias("c"), F.stddev_pop("confidence_score").alias("s"))
-    gate = F.when((F.col("a") >= 0.7) & (F.col("n") >= 20), "deploy").otherwise("hold")
+    gate = F.when((F.col("a") >= 0.7) & (F.col("n") >= 20) & (F.col("a") >= baseline + 0.01), "deploy").otherwise("hold")
     return out.select("n", F.round("a", 9).alias("accuracy"), F.round("c", 9).alias("avg_confidence"), F.round("s", 9).alias("std_confidence"), gate.alias("decision"))
 
 
@@ -100,7 +106,11 @@ def ab_t_stat(spark, root):
 
 
 def ab_active_tests(spark, root):
-    return table(spark, root, "ab_tests", "test_id", "test_name", "traffic_split_ratio", "is_active").where("is_active").select("test_id", "test_name", "traffic_split_ratio")
+    """Tests that run as of the newest one: active, begun and not ended."""
+    rows = table(spark, root, "ab_tests", "test_id", "test_name", "traffic_split_ratio", "is_active", "created_at", "deleted_at")
+    now = rows.agg(F.max("created_at").alias("now"))
+    running = rows.join(F.broadcast(now)).where("is_active and created_at <= now and (deleted_at is null or deleted_at > now)")
+    return running.select("test_id", "test_name", "traffic_split_ratio")
 
 
 def feedback_patterns(spark, root):
@@ -150,7 +160,7 @@ def training_by_source(spark, root):
 
 def active_patterns(spark, root):
     rows = table(spark, root, "adaptive_patterns", "pattern_id", "regex", "confidence", "is_active").where("is_active")
-    return rows.select("pattern_id", "regex", "confidence")
+    return rows.select("pattern_id", "regex", "confidence").orderBy(F.desc_nulls_last("confidence"), "pattern_id")
 
 
 def pattern_keep_best(spark, root):
@@ -171,11 +181,11 @@ _H = "md5(document_id)"
 _P = [f"CAST('0x' || substr({_H}, {8 * k + 1}, 8) AS BIGINT)" for k in range(4)]
 _B = f"(((({_P[0]} % 1000000) * 967296 + {_P[1]}) % 1000000 * 967296 + {_P[2]}) % 1000000 * 967296 + {_P[3]}) % 1000000"
 ORACLE = {
-    "quality_by_category": "SELECT category, count(*) AS n, round(avg(ml_confidence), 9) AS avg_confidence, round(stddev_pop(ml_confidence), 9) AS std_confidence, round(1 - avg(ml_confidence), 9) AS false_positive_rate, round(avg(processing_time_ms), 6) AS avg_ms FROM detection_results GROUP BY ALL",
+    "quality_by_category": "SELECT category, count(*) AS n, round(avg(ml_confidence), 9) AS avg_confidence, round(stddev_pop(ml_confidence), 9) AS std_confidence, round(avg(ml_confidence), 9) AS precision, round(avg(ml_confidence), 9) AS recall, round(1 - avg(ml_confidence), 9) AS false_positive_rate, CAST(1 AS DOUBLE) AS pattern_diversity, round(avg(processing_time_ms), 6) AS avg_ms FROM detection_results GROUP BY ALL",
     "quality_cube": "SELECT category, pattern_type, count(*) AS n, CAST(grouping(category, pattern_type) AS BIGINT) AS level FROM detection_results GROUP BY CUBE (category, pattern_type)",
     "category_distribution": "SELECT category, count(*) AS n FROM detection_results GROUP BY ALL",
-    "low_confidence_insights": "SELECT category, format('Low confidence for {}: {:.2f}', category, avg(ml_confidence)) AS insight FROM detection_results WHERE category IS NOT NULL GROUP BY category HAVING avg(ml_confidence) < 0.85",
-    "overall_quality_health": """WITH p AS (SELECT category, avg(ml_confidence) AS a FROM detection_results GROUP BY ALL), s AS (SELECT round(greatest(0.0, avg(a) * 100 - 5 * count_if(a < 0.7)), 6) AS score FROM p)
+    "low_confidence_insights": "SELECT category, format('Low confidence for {}: {:.2f}', category, avg(ml_confidence)) AS insight FROM detection_results WHERE category IS NOT NULL GROUP BY category HAVING avg(ml_confidence) < 0.75",
+    "overall_quality_health": f"""WITH p AS (SELECT round(avg(ml_confidence), 9) AS a FROM detection_results GROUP BY category), h AS ({monitoring.ORACLE['system_health']}), s AS (SELECT round(greatest(0.0, avg(a) * 100 - 5 * (SELECT critical + high FROM h)), 6) AS score FROM p)
 SELECT score, CASE WHEN score >= 85 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS status FROM s""",
     "ml_ratio": "SELECT CAST(count_if(NOT fallback_used) AS BIGINT) AS ml, CAST(count_if(fallback_used) AS BIGINT) AS fallback, round(avg(CAST(NOT fallback_used AS INT)), 9) AS ratio FROM detection_results",
     "upsert_latest": "SELECT id, test_id, group_name, metric_name, metric_value FROM (SELECT *, row_number() OVER (PARTITION BY concat_ws('|', test_id, group_name, metric_name) ORDER BY id DESC) AS r FROM ab_test_results WHERE test_id IS NOT NULL) WHERE r = 1",
@@ -185,16 +195,17 @@ CAST(count_if(confidence_score <= 0.5 AND is_true_positive) AS BIGINT) AS fn FRO
 m AS (SELECT *, (tp + tn) / (tp + fp + tn + fn) AS a, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r FROM c)
 SELECT category, tp, fp, tn, fn, round(a, 9) AS accuracy, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM m""",
     "confidence_proxy_metrics": "SELECT count(*) AS n, round(avg(CAST(ml_confidence > 0.7 AS INT)), 9) AS share, round(1 - coalesce(stddev_samp(ml_confidence), 0), 9) AS correlation FROM detection_results WHERE ml_confidence IS NOT NULL AND ts >= (SELECT max(ts) - INTERVAL 1 DAY FROM detection_results WHERE ml_confidence IS NOT NULL)",
-    "ml_rule_corr": "SELECT count(*) AS n, round(corr(detected_confidence, user_confidence_rating), 9) AS correlation FROM (SELECT * FROM user_feedback WHERE detected_confidence IS NOT NULL AND user_confidence_rating IS NOT NULL ORDER BY id DESC LIMIT 1000)",
+    "ml_rule_corr": f"""WITH l AS (SELECT ml_confidence AS m, 0.5 + least(0.4, (CASE category {' '.join(f"WHEN '{k}' THEN {v}" for k, v in CATEGORY_SPECIFICITY.items())} ELSE {DEFAULT_SPECIFICITY} END) / 250) AS r
+FROM detection_results WHERE ml_confidence IS NOT NULL AND NOT fallback_used ORDER BY id DESC LIMIT 100) SELECT count(*) AS n, round(corr(m, r), 6) AS correlation FROM l""",
     "model_evaluation": """SELECT count(*) AS n, round(avg(CAST((confidence_score > 0.5) = is_true_positive AS INT)), 9) AS accuracy, round(avg(confidence_score), 9) AS avg_confidence, round(stddev_pop(confidence_score), 9) AS std_confidence,
-CASE WHEN avg(CAST((confidence_score > 0.5) = is_true_positive AS INT)) >= 0.7 AND count(*) >= 20 THEN 'deploy' ELSE 'hold' END AS decision FROM training_examples WHERE confidence_score IS NOT NULL AND is_true_positive IS NOT NULL""",
+CASE WHEN avg(CAST((confidence_score > 0.5) = is_true_positive AS INT)) >= 0.71 AND count(*) >= 20 THEN 'deploy' ELSE 'hold' END AS decision FROM training_examples WHERE confidence_score IS NOT NULL AND is_true_positive IS NOT NULL""",
     "ab_bucket_md5": f"SELECT document_id, {_B} AS bucket, CASE WHEN {_B} / 1000000 <= 0.5 THEN 'control' ELSE 'variant' END AS group_name FROM pdf_documents WHERE document_id IS NOT NULL",
     "ab_variant_summary": "SELECT test_id, group_name, metric_name, count(*) AS n, round(avg(metric_value), 9) AS mean, round(median(metric_value), 9) AS median, round(coalesce(stddev_samp(metric_value), 0), 9) AS std, min(metric_value) AS low, max(metric_value) AS high FROM ab_test_results WHERE metric_value IS NOT NULL GROUP BY ALL",
     "ab_t_stat": """WITH m AS (SELECT test_id, metric_name, count(*) FILTER (group_name = 'control') AS n_c, count(*) FILTER (group_name = 'variant') AS n_v, avg(metric_value) FILTER (group_name = 'control') AS mean_c, avg(metric_value) FILTER (group_name = 'variant') AS mean_v,
 coalesce(var_samp(metric_value) FILTER (group_name = 'control'), 0) AS vc, coalesce(var_samp(metric_value) FILTER (group_name = 'variant'), 0) AS vv FROM ab_test_results WHERE metric_value IS NOT NULL GROUP BY ALL),
 p AS (SELECT *, n_c + n_v - 2 AS df, ((n_c - 1) * vc + (n_v - 1) * vv) / nullif(n_c + n_v - 2, 0) AS pooled FROM m WHERE n_c > 0 AND n_v > 0)
 SELECT test_id, metric_name, n_c, n_v, round(mean_c, 9) AS mean_c, round(mean_v, 9) AS mean_v, df, round((mean_v - mean_c) / nullif(sqrt(pooled * (1 / n_c + 1 / n_v)), 0), 6) AS t, CASE WHEN mean_v > mean_c THEN 'variant' WHEN mean_v < mean_c THEN 'control' END AS leader FROM p""",
-    "ab_active_tests": "SELECT test_id, test_name, traffic_split_ratio FROM ab_tests WHERE is_active",
+    "ab_active_tests": "WITH n AS (SELECT max(created_at) AS now FROM ab_tests) SELECT test_id, test_name, traffic_split_ratio FROM ab_tests, n WHERE is_active AND created_at <= now AND (deleted_at IS NULL OR deleted_at > now)",
     "feedback_patterns": "SELECT feedback_type, detected_category, count(*) AS n, round(avg(nullif(user_confidence_rating, 0)), 9) AS avg_rating FROM user_feedback WHERE ts >= (SELECT max(ts) - INTERVAL 168 HOUR FROM user_feedback) GROUP BY ALL",
     "problem_categories": "SELECT detected_category, count(*) AS n, CAST(count_if(feedback_type = 'false_positive') AS BIGINT) AS false_positives FROM user_feedback GROUP BY ALL HAVING count(*) >= 5 AND count_if(feedback_type = 'false_positive') / count(*) > 0.3",
     "feedback_to_examples": """SELECT id, text_segment AS detection_text, coalesce(user_corrected_category, detected_category) AS category, feedback_type <> 'false_positive' AS is_true_positive, CAST(CASE WHEN feedback_type = 'false_positive' THEN 0.1 ELSE 0.95 END AS DOUBLE) AS confidence

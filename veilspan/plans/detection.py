@@ -12,8 +12,8 @@ from veilspan.operators import spans as S
 from veilspan.session import spread
 from veilspan.sources.tables import table
 
-#: Patterns whose ends are plain characters, so that other engines find the same: those of the queries that have a SQL twin.
-#: The query of the same name and ``_all`` searches every pattern in force.
+#: Patterns whose ends are plain characters, so that other engines find the same: those of the ``plain_`` queries, which SQL twins check.
+#: All other queries search every pattern in force.
 PLAIN = ("date_yyyy_mm_dd", "date_yyyy_mm_dd_dots", "emails", "lithuanian_iban", "lithuanian_passport", "lithuanian_phone_compact", "lithuanian_postal_code", "lithuanian_vat_code", "lithuanian_personal_codes", "health_insurance_number")
 CHOSEN = [(n, n, BASE_PATTERNS[n], False) for n in PLAIN]
 
@@ -22,26 +22,31 @@ def _docs(spark: SparkSession, root: str, *more: str) -> DataFrame:
     return table(spark, root, "documents", "doc_id", "text", *more)
 
 
+def _found(spark: SparkSession, root: str, patterns: list[tuple[str, str, str, bool]] | None = None) -> DataFrame:
+    """``doc_id, whole, spans`` of ``patterns``, else of every pattern in force."""
+    return S.doc_spans(_docs(spark, root), "doc_id", "text", patterns)
+
+
 def _spans(spark: SparkSession, root: str, patterns: list[tuple[str, str, str, bool]] | None = None) -> DataFrame:
-    """Spans of ``patterns``, else of every pattern in force."""
-    return S.find_spans(_docs(spark, root), "doc_id", "text", patterns)
+    """One row per span."""
+    return _found(spark, root, patterns).select("doc_id", F.inline("spans"))
 
 
 def pii_category_counts(spark, root):
-    return S.category_counts(_docs(spark, root), "text", CHOSEN)
+    return S.category_counts(_docs(spark, root), "text", S.catalogue())
 
 
-def pii_category_counts_all(spark, root):
-    return S.category_counts(_docs(spark, root), "text", S.catalogue())
+def plain_category_counts(spark, root):
+    return S.category_counts(_docs(spark, root), "text", CHOSEN)
 
 
 def pii_docs_by_lang(spark, root):
     """Matches per language and category."""
-    return S.category_counts(_docs(spark, root, "lang"), "text", CHOSEN, "lang")
+    return S.category_counts(_docs(spark, root, "lang"), "text", S.catalogue(), "lang")
 
 
-def pii_docs_by_lang_all(spark, root):
-    return S.category_counts(_docs(spark, root, "lang"), "text", S.catalogue(), "lang")
+def plain_docs_by_lang(spark, root):
+    return S.category_counts(_docs(spark, root, "lang"), "text", CHOSEN, "lang")
 
 
 def _topk(spark, root, patterns):
@@ -51,11 +56,11 @@ def _topk(spark, root, patterns):
 
 def pii_topk_docs(spark, root):
     """The ten documents with most matches."""
-    return _topk(spark, root, CHOSEN)
+    return _topk(spark, root, S.catalogue())
 
 
-def pii_topk_docs_all(spark, root):
-    return _topk(spark, root, S.catalogue())
+def plain_topk_docs(spark, root):
+    return _topk(spark, root, CHOSEN)
 
 
 def pii_catalogue_counts(spark, root):
@@ -65,32 +70,36 @@ def pii_catalogue_counts(spark, root):
 
 
 def pii_spans(spark, root):
+    return _spans(spark, root).select("doc_id", "pattern", "category", "n", "text", "start", "end")
+
+
+def plain_spans(spark, root):
     return _spans(spark, root, CHOSEN).select("doc_id", "category", "n", "text", "start", "end")
 
 
-def pii_spans_all(spark, root):
-    return _spans(spark, root).select("doc_id", "pattern", "category", "n", "text", "start", "end")
+def _resolved(spark, root, resolve, *fields, patterns=None):
+    return _found(spark, root, patterns).select("doc_id", F.inline(resolve(F.col("spans")))).select("doc_id", "category", *fields)
 
 
 def span_dedupe_sweep(spark, root):
-    return S.dedupe_sweep(_spans(spark, root, CHOSEN), "doc_id").select("doc_id", "category", "start", "end")
+    return _resolved(spark, root, S.swept, "start", "end")
 
 
-def span_dedupe_sweep_all(spark, root):
-    return S.dedupe_sweep(_spans(spark, root), "doc_id").select("doc_id", "category", "start", "end")
+def plain_dedupe_sweep(spark, root):
+    return _resolved(spark, root, S.swept, "start", "end", patterns=CHOSEN)
 
 
 def span_dedupe_full_match(spark, root):
-    return S.dedupe_full_match(_spans(spark, root, CHOSEN), "doc_id").select("doc_id", "category", "full_start", "full_end")
+    return _resolved(spark, root, S.swept_whole, "full_start", "full_end")
 
 
-def span_dedupe_full_match_all(spark, root):
-    return S.dedupe_full_match(_spans(spark, root), "doc_id").select("doc_id", "category", "full_start", "full_end")
+def plain_dedupe_full_match(spark, root):
+    return _resolved(spark, root, S.swept_whole, "full_start", "full_end", patterns=CHOSEN)
 
 
 def span_dedupe_longest(spark, root):
-    rows = _spans(spark, root).withColumn("confidence", S.base_confidence(F.col("specificity")))
-    return S.dedupe_longest(rows, "doc_id").select("doc_id", "category", "start", "end")
+    sure = lambda spans: F.transform(spans, lambda s: s.withField("confidence", S.base_confidence(s["specificity"])))
+    return _resolved(spark, root, lambda spans: S.longest(sure(spans)), "start", "end")
 
 
 def text_dedupe_specificity(spark, root):
@@ -111,23 +120,39 @@ def redacted_words(spark, root):
     return _docs(spark, root).select("doc_id", S.redact_words(F.col("text"), ["EUR", "PVM", "Vilnius"]).alias("redacted"))
 
 
+def _overlaid(spark, root, patterns=None):
+    over = S.overlay(F.col("whole"), S.swept(F.col("spans")), lambda s: F.concat(F.lit("["), F.upper(s["category"]), F.lit("]")))
+    return _found(spark, root, patterns).select("doc_id", over.alias("redacted"))
+
+
 def redacted_overlay(spark, root):
     """Documents with every resolved span replaced by its category."""
-    kept = S.dedupe_sweep(_spans(spark, root), "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "category"))).alias("spans"))
-    joined = _docs(spark, root).join(kept, "doc_id", "left")
-    over = S.overlay(F.col("text"), F.col("spans"), lambda s: F.concat(F.lit("["), F.upper(s["category"]), F.lit("]")))
-    return joined.select("doc_id", F.coalesce(over, "text").alias("redacted"))
+    return _overlaid(spark, root)
+
+
+def plain_redacted_overlay(spark, root):
+    return _overlaid(spark, root, CHOSEN)
+
+
+def _report(spark, root, patterns=None):
+    kinds = F.transform(S.swept(F.col("spans")), lambda s: s["category"])
+    found = _found(spark, root, patterns).select("doc_id", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    count = lambda x: F.map_from_entries(F.transform(F.array_sort(F.array_distinct(x)), lambda c: F.struct(c, F.size(F.filter(x, lambda y: y == c)).cast("bigint"))))
+    return found.select("doc_id", F.size("kinds").cast("bigint").alias("total"), F.to_json(count(F.col("kinds"))).alias("by_category"))
 
 
 def redaction_report(spark, root):
     """Redactions per document: total, and by category as a map."""
-    kept = S.dedupe_sweep(_spans(spark, root), "doc_id").groupBy("doc_id", "category").agg(F.count(F.lit(1)).alias("n"))
-    return kept.groupBy("doc_id").agg(F.sum("n").alias("total"), F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n"))))).alias("by_category"))
+    return _report(spark, root)
+
+
+def plain_redaction_report(spark, root):
+    return _report(spark, root, CHOSEN)
 
 
 NAMES = (
     "pii_category_counts", "pii_docs_by_lang", "pii_topk_docs", "pii_catalogue_counts", "pii_spans", "span_dedupe_sweep", "span_dedupe_full_match", "span_dedupe_longest", "text_dedupe_specificity", "confidence_levels", "redacted_text_email", "redacted_words", "redacted_overlay", "redaction_report",
-    "pii_category_counts_all", "pii_docs_by_lang_all", "pii_topk_docs_all", "pii_spans_all", "span_dedupe_sweep_all", "span_dedupe_full_match_all",
+    "plain_category_counts", "plain_docs_by_lang", "plain_topk_docs", "plain_spans", "plain_dedupe_sweep", "plain_dedupe_full_match", "plain_redacted_overlay", "plain_redaction_report",
 )
 QUERIES = {n: globals()[n] for n in NAMES}
 
@@ -153,12 +178,17 @@ kept AS (
 )"""
 _SCORES = "CASE category " + " ".join(f"WHEN {_q(c)} THEN {n}" for c, n in S.CATEGORY_SPECIFICITY.items()) + f" ELSE {S.DEFAULT_SPECIFICITY} END"
 ORACLE = {
-    "pii_category_counts": f"SELECT category, CAST(sum(m) AS BIGINT) AS matches FROM ({_COUNTS}) WHERE m > 0 GROUP BY ALL",
-    "pii_docs_by_lang": f"SELECT lang, category, CAST(sum(m) AS BIGINT) AS matches FROM ({_COUNTS}) WHERE m > 0 GROUP BY ALL",
-    "pii_topk_docs": f"SELECT doc_id, CAST(sum(m) AS BIGINT) AS matches FROM ({_COUNTS}) GROUP BY ALL ORDER BY matches DESC, doc_id LIMIT 10",
-    "pii_spans": f"WITH RECURSIVE {_SPANS} SELECT doc_id, category, n, text, start_ AS start, end_ AS \"end\" FROM sp",
-    "span_dedupe_sweep": f"WITH RECURSIVE {_SPANS} SELECT doc_id, category, start_ AS start, end_ AS \"end\" FROM kept",
-    "span_dedupe_full_match": f"WITH RECURSIVE {_SPANS} SELECT doc_id, category, start_ AS full_start, end_ AS full_end FROM kept",
+    "plain_category_counts": f"SELECT category, CAST(sum(m) AS BIGINT) AS matches FROM ({_COUNTS}) WHERE m > 0 GROUP BY ALL",
+    "plain_docs_by_lang": f"SELECT lang, category, CAST(sum(m) AS BIGINT) AS matches FROM ({_COUNTS}) WHERE m > 0 GROUP BY ALL",
+    "plain_topk_docs": f"SELECT doc_id, CAST(sum(m) AS BIGINT) AS matches FROM ({_COUNTS}) GROUP BY ALL ORDER BY matches DESC, doc_id LIMIT 10",
+    "plain_spans": f"WITH RECURSIVE {_SPANS} SELECT doc_id, category, n, text, start_ AS start, end_ AS \"end\" FROM sp",
+    "plain_dedupe_sweep": f"WITH RECURSIVE {_SPANS} SELECT doc_id, category, start_ AS start, end_ AS \"end\" FROM kept",
+    "plain_dedupe_full_match": f"WITH RECURSIVE {_SPANS} SELECT doc_id, category, start_ AS full_start, end_ AS full_end FROM kept",
+    "plain_redaction_report": f"""WITH RECURSIVE {_SPANS}, c AS (SELECT doc_id, category, count(*) AS n FROM kept GROUP BY ALL)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS total, '{{' || string_agg('"' || category || '":' || n, ',' ORDER BY category) || '}}' AS by_category FROM c GROUP BY doc_id""",
+    "plain_redacted_overlay": f"""WITH RECURSIVE {_SPANS}, k AS (SELECT *, lag(end_, 1, 0) OVER (PARTITION BY doc_id ORDER BY start_) AS before FROM kept),
+r AS (SELECT k.doc_id, string_agg(substr(text, before + 1, start_ - before) || '[' || upper(category) || ']', '' ORDER BY start_) AS head, max(end_) AS upto FROM k JOIN documents d ON d.doc_id = k.doc_id GROUP BY ALL)
+SELECT d.doc_id, coalesce(head, '') || substr(text, coalesce(upto, 0) + 1) AS redacted FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id""",
     "text_dedupe_specificity": f"""SELECT id, document_id, category, text FROM (SELECT *, row_number() OVER (PARTITION BY document_id, lower(trim(text, ' ')) ORDER BY {_SCORES} DESC, category DESC NULLS LAST, id DESC) AS r
 FROM detection_results WHERE text IS NOT NULL) WHERE r = 1""",
     "confidence_levels": """SELECT CASE WHEN ml_confidence >= 0.9 THEN 'VERY_HIGH' WHEN ml_confidence >= 0.8 THEN 'HIGH' WHEN ml_confidence >= 0.6 THEN 'MEDIUM' WHEN ml_confidence >= 0.4 THEN 'LOW' ELSE 'VERY_LOW' END AS level,

@@ -10,11 +10,9 @@ from veilspan.functions.text import core_place, entity_category
 from veilspan.operators import language as L
 from veilspan.operators import spans as S
 from veilspan.operators.learning import learned_spans
-from veilspan.plans.detection import _SPANS, CHOSEN, _spans
+from veilspan.plans.detection import _SPANS, CHOSEN, _found, _spans
 from veilspan.sources.tables import table
 
-#: The cities of ``city_scan`` and its SQL twin; ``city_scan_all`` counts all of them.
-PLAIN_CITIES = ("Vilnius", "Kaunas", "Alytus", "Jonava", "Utena", "Visaginas", "Palanga")
 # Parts of synthetic examples.
 FIRST = ("Jonas", "Petras", "Antanas", "Vytautas", "Mindaugas")
 LAST = ("Jonaitis", "Petraitis", "Antanaitis", "Kazlauskas", "Vaičiūnas")
@@ -22,14 +20,23 @@ STREETS = ("Gedimino", "Vilniaus", "Kauno", "Laisvės", "Taikos")
 
 
 def salutation_names(spark, root):
-    return L.salutations(table(spark, root, "user_feedback", "id", "text_segment"), "id", "text_segment")
+    return L.salutations(table(spark, root, "user_feedback", "id", "text_segment"), "id", "text_segment").drop("full")
 
 
-def city_scan(spark, root):
-    return L.city_counts(table(spark, root, "documents", "text"), "text", PLAIN_CITIES)
+def enhanced_spans(spark, root):
+    """Matches of the language patterns; names with document terms or common words in them are dropped."""
+    patterns = [x for x in catalogue() if x[3]]
+    rows = S.find_spans(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text", patterns)
+    return rows.where(L.enhanced_kept(F.col("text"), F.col("category"))).select("doc_id", "pattern", "category", "start", "end")
+
+
+def confident_spans(spark, root):
+    """Matches of every pattern in force whose confidence, adjusted by the words around, is at least 0.3."""
+    rows = _in_context(spark, root)
+    return rows.where("confidence >= 0.3").select("doc_id", "pattern", "start", "end", F.round("confidence", 6).alias("confidence"))
 
 
-def city_scan_all(spark, root):
+def city_scan(spark, root):
     return L.city_counts(table(spark, root, "documents", "text"), "text")
 
 
@@ -48,23 +55,31 @@ def _overlaps(rows):
     return met.where("cell = floor(greatest(start_a, start_b) / 64)")
 
 
-def overlapping_spans(spark, root):
-    """Pairs of categories whose spans overlap in a document."""
+def plain_overlapping_spans(spark, root):
+    """Pairs of categories whose spans overlap in a document, of the plain patterns."""
     return _overlaps(_spans(spark, root, CHOSEN)).groupBy("category_a", "category_b").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-def overlapping_spans_all(spark, root):
+def overlapping_spans(spark, root):
     """The same of every pattern in force; patterns share categories, so a pair is named in order of the alphabet."""
     pair = F.least("category_a", "category_b").alias("category_a"), F.greatest("category_a", "category_b").alias("category_b")
     return _overlaps(_spans(spark, root)).groupBy(*pair).agg(F.count(F.lit(1)).alias("pairs"))
 
 
-def keyword_adjusted_confidence(spark, root):
-    """Detections of the documents by confidence after looking for ``forbidden`` and ``confirmed`` within 50 characters."""
-    text = table(spark, root, "documents", "doc_id", "text")
-    rows = _spans(spark, root).join(text.withColumnRenamed("text", "whole"), "doc_id")
+def _in_context(spark, root, patterns=None):
+    """Spans with their confidence after looking for ``forbidden`` and ``confirmed`` within 50 characters; the text is still at hand."""
+    rows = _found(spark, root, patterns).select("doc_id", "whole", F.inline("spans"))
     near = F.substring("whole", F.greatest(F.lit(1), F.col("start") - 49), F.col("end") - F.col("start") + 100)
-    return rows.groupBy("category", F.round(L.keyword_adjusted(S.base_confidence(F.col("specificity")), near), 6).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("confidence", L.keyword_adjusted(S.base_confidence(F.col("specificity")), near)).drop("whole")
+
+
+def keyword_adjusted_confidence(spark, root):
+    """Detections of the documents by category and adjusted confidence."""
+    return _in_context(spark, root).groupBy("category", F.round("confidence", 6).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def plain_keyword_adjusted(spark, root):
+    return _in_context(spark, root, CHOSEN).groupBy("category", F.round("confidence", 6).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def final_detections(spark, root):
@@ -73,7 +88,7 @@ def final_detections(spark, root):
     Document terms that are only somewhat sure are no detections.  Named entities are left out.
     """
     docs, patterns = table(spark, root, "documents", "doc_id", "text"), catalogue()
-    single = S.dedupe_full_match(S.find_spans(docs, "doc_id", "text", patterns), "doc_id")
+    single = S.doc_spans(docs, "doc_id", "text", patterns).select("doc_id", F.inline(S.swept_whole(F.col("spans"))))
     sure = single.withColumn("confidence", F.greatest(F.lit(0.8), S.base_confidence(F.col("specificity")))).drop("full_end")
     sure = sure.unionByName(learned_spans(docs, "doc_id", "text", table(spark, root, "adaptive_patterns"), len(patterns)))
     term = F.lower("text").isin(list(DOCUMENT_TERMS)) & S.confidence_level(F.col("confidence")).isin("LOW", "MEDIUM")
@@ -125,16 +140,19 @@ def improvement_suggestions(spark, root):
 
 
 NAMES = (
-    "salutation_names", "city_scan", "city_scan_all", "place_names", "overlapping_spans", "overlapping_spans_all", "keyword_adjusted_confidence", "final_detections", "language_scores", "swift_lt", "pattern_domains", "detections_to_examples", "synthetic_examples", "improvement_suggestions",
+    "salutation_names", "city_scan", "place_names", "overlapping_spans", "plain_overlapping_spans", "keyword_adjusted_confidence", "plain_keyword_adjusted", "enhanced_spans", "confident_spans", "final_detections", "language_scores", "swift_lt", "pattern_domains", "detections_to_examples", "synthetic_examples", "improvement_suggestions",
 )
 QUERIES = {n: globals()[n] for n in NAMES}
-_C = "|".join(c.lower() for c in PLAIN_CITIES)
+_BY_NAME = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.PATTERN_SPECIFICITY.items()) + f" ELSE {S.DEFAULT_SPECIFICITY} END"
 _ALL = "|".join(c.lower() for c in sorted(L.CITIES, key=len, reverse=True))
 ORACLE = {
-    "city_scan_all": f"SELECT trim(c, ' ') AS city, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]', '  ', 'g') || ' ', '(?:^| )(?:{_ALL}) ')) AS c FROM documents WHERE text IS NOT NULL) GROUP BY ALL",
-    "city_scan": f"SELECT trim(c, ' ') AS city, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]', '  ', 'g') || ' ', '(?:^| )(?:{_C}) ')) AS c FROM documents WHERE text IS NOT NULL) GROUP BY ALL",
+    "city_scan": f"SELECT trim(c, ' ') AS city, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]', '  ', 'g') || ' ', '(?:^| )(?:{_ALL}) ')) AS c FROM documents WHERE text IS NOT NULL) GROUP BY ALL",
     "place_names": r"SELECT id, regexp_replace(regexp_replace(regexp_replace(text, '( mieste| miestas| rajone| rajonas| apskrityje| apskritis| seniūnijoje| seniūnija)$', ''), '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '') AS place, 'locations' AS category FROM detection_results WHERE category = 'locations' AND text IS NOT NULL",
-    "overlapping_spans": f"WITH RECURSIVE {_SPANS} SELECT a.category AS category_a, b.category AS category_b, count(*) AS pairs FROM sp a JOIN sp b ON a.doc_id = b.doc_id AND a.ord < b.ord AND a.start_ < b.end_ AND b.start_ < a.end_ GROUP BY ALL",
+    "plain_overlapping_spans": f"WITH RECURSIVE {_SPANS} SELECT a.category AS category_a, b.category AS category_b, count(*) AS pairs FROM sp a JOIN sp b ON a.doc_id = b.doc_id AND a.ord < b.ord AND a.start_ < b.end_ AND b.start_ < a.end_ GROUP BY ALL",
+    "plain_keyword_adjusted": f"""WITH RECURSIVE {_SPANS}, c AS (SELECT category, lower(substr(d.text, greatest(1, start_ - 49), end_ - start_ + 100)) AS near, {_BY_NAME} AS spec FROM sp JOIN documents d ON d.doc_id = sp.doc_id),
+a AS (SELECT category, 0.5 + least(0.4, spec / 250) AS b, near FROM c)
+SELECT category, round(CASE WHEN contains(near, 'forbidden') THEN b * 0.5 WHEN contains(near, 'confirmed') THEN least(1.0, b * 1.2) ELSE b END, 6) AS confidence, count(*) AS n FROM a GROUP BY ALL""",
+    "pattern_domains": "SELECT domain, count(*) AS patterns FROM (SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(name), '{w}') THEN '{k}'" for w, k in L.DOMAINS) + " ELSE 'generic' END AS domain FROM (VALUES " + ", ".join(f"('{n}')" for n, *_ in catalogue()) + ") t(name)) GROUP BY ALL",
     "swift_lt": """WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z0-9]{8,11}'))) AS word FROM documents)
 SELECT doc_id, word FROM w WHERE regexp_matches(word, '^[A-Z]{4}LT([01][0-9]|[A-Z2-9][A-Z0-9])([A-Z0-9]{3})?$')""",
     "detections_to_examples": "SELECT id, text AS detection_text, category, ml_confidence AS confidence_score, ml_confidence > 0.7 AS is_true_positive FROM detection_results WHERE ml_confidence IS NOT NULL",

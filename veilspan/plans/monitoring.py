@@ -97,9 +97,9 @@ def anomaly_top5(spark, root):
 
 def system_health(spark, root):
     """100 less 20 for a critical and 10 for a high anomaly of the last day; any critical one decides the status."""
-    rows = table(spark, root, "performance_metrics", "id", "ts")
+    rows = table(spark, root, "performance_metrics", "ts")
     edge = rows.agg((F.max("ts") - 86400).alias("edge"))
-    recent = M.zscores(_series(spark, root)).join(rows, "id").join(F.broadcast(edge)).where("ts >= edge")
+    recent = M.zscores(_series(spark, root), "medium", "ts").join(F.broadcast(edge)).where("ts >= edge")
     count = lambda s: F.count_if(F.col("severity") == s)
     out = recent.agg(count("critical").alias("critical"), count("high").alias("high"))
     score = F.greatest(F.lit(0), 100 - 20 * F.col("critical") - 10 * F.col("high")).cast("bigint")
