@@ -44,6 +44,7 @@ def corpus(seed, n=60):
 @pytest.mark.parametrize(("seed", "hot"), [(1, 200), (2, 3)])
 def test_every_pair_is_found(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(S, "HOT_DOCS", hot)
+    monkeypatch.setattr(S, "HOT_FLOOR", 50_000 if hot > 3 else 5)
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(docs)], "doc_id long, text string, doc string")
     got = [tuple(r) for r in S.expand(*S.linked(df, "doc_id", "text")).collect()]

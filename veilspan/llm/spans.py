@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspan.operators.skew import BROADCAST_ROWS, split_join
+from veilspan.operators.skew import BROADCAST_ROWS, HOT_FLOOR, join_small, split_join
 from veilspan.session import materialize, spread
 
 #: Characters of a span that must be found.
@@ -208,11 +208,16 @@ def linked_firsts(docs: DataFrame, copies: DataFrame, key: str, text: str, span:
     own = docs.where(F.length(text) >= span).select(key, text).join(later, key, "left_anti")
     own = own.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
     found = materialize(spread(own).mapInPandas(_chunk_digests(span), "digest bigint, doc bigint, at int, size smallint"), "chunks")
-    shared = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hot = materialize(shared.where(F.col("n") > HOT_DOCS).select("digest"), "stock")
-    known = hot.count()
-    few = F.broadcast(hot) if known <= BROADCAST_ROWS else hot
-    cold = found.join(few, "digest", "left_anti") if known else found
+    shared = materialize(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    # Chunks that nothing shares go no further; those of very many documents, a few, are met where they are.
+    great = shared.where(F.col("n") > HOT_FLOOR)
+    spared = great.count()
+    kept = found.join(shared.where(F.col("n") <= HOT_FLOOR) if spared else shared, "digest")
+    if spared:
+        kept = kept.unionByName(join_small(found, great, ["digest"], spared))
+    kept = materialize(kept, "kept")
+    known = shared.where(F.col("n") > HOT_DOCS).count()
+    cold = kept.where(F.col("n") <= HOT_DOCS)
     a, b = (cold.select("digest", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "at")], "size") for x in "ab")
     met = a.join(b.drop("size"), "digest").where("doc_a < doc_b").select("doc_a", "doc_b", "at_a", (F.col("at_b") - F.col("at_a")).alias("shift"), (F.col("at_a") + F.col("size")).alias("to"))
     line = Window.partitionBy("doc_a", "doc_b", "shift").orderBy("at_a", "to")
@@ -225,13 +230,13 @@ def linked_firsts(docs: DataFrame, copies: DataFrame, key: str, text: str, span:
     if not known:
         return pairs
     # Around chunks of many documents the whole spans are compared, by two digests of 64 bits, so that only true pairs meet.
-    some = found.join(few, "digest").groupBy("doc").agg(F.collect_set("digest").alias("hot"))
+    some = kept.where(F.col("n") > HOT_DOCS).groupBy("doc").agg(F.collect_set("digest").alias("hot"))
     around = materialize(own.join(some, "doc").mapInPandas(_span_digests(span), "d1 bigint, d2 bigint, doc bigint"), "around")
     sets = around.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "doc")).alias("x")).where("n > 1")
     # Spans of the very same documents say the same: one of them stands for all.
     one = sets.groupBy("n", "s", "x").agg(F.min(F.struct("d1", "d2")).alias("d")).select("d.d1", "d.d2")
-    kept = materialize(around.join(one, ["d1", "d2"]), "spans")
-    a, b = (kept.select("d1", "d2", F.col("doc").alias(x)) for x in "ab")
+    met_around = materialize(around.join(one, ["d1", "d2"]), "spans")
+    a, b = (met_around.select("d1", "d2", F.col("doc").alias(x)) for x in "ab")
     stock = a.join(b, ["d1", "d2"]).where("a < b").select("a", "b").distinct()
     none = F.lit(None).cast("int")
     stock = stock.select("a", "b", none.alias("at_a"), none.alias("at_b"), F.lit(True).alias("sure"))
