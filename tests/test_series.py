@@ -42,7 +42,44 @@ def test_stream_anomalies_equal_batch(spark, data):
 
 def test_sessions(spark, data):
     stream = monitor.sessions(monitor.metric_stream(monitor.stream_table(spark, data, "performance_metrics")))
-    assert monitor.run_available(stream, mode="append").count() >= 0
+    closed = monitor.run_available(stream, mode="append").collect()
+    assert len({(r.metric, r.begin) for r in closed}) == len(closed) and all(r.begin < r.finish for r in closed)
+
+
+def test_late_rows_in_later_batches(spark, tmp_path):
+    import time
+
+    at = str(tmp_path / "performance_metrics.parquet")
+    batches = [[(1, 0.0), (2, 30.0)], [(3, 7200.0)], [(5, 7230.0)], [(4, 40.0), (6, 14400.0)]]
+    for rows in batches:  # row 4 comes far more than the lateness behind; a batch counts as late what was so a batch before
+        spark.createDataFrame([(i, ts, "a", 1.0) for i, ts in rows], "id bigint, ts double, event_name string, duration double").coalesce(1).write.mode("append").parquet(at)
+        time.sleep(1.1)
+    stream = monitor.metric_stream(monitor.stream_table(spark, str(tmp_path), "performance_metrics", files=1))
+    got = {r.begin.timestamp() % 86400: r.n for r in monitor.run_available(monitor.rolling_stats(stream, "1 minute", "1 minute"), ["metric", "begin", "finish"]).collect()}
+    assert got == {0.0: 2, 7200.0: 2, 14400.0: 1}
+
+
+def test_alerts_go_to_the_sink(spark, data):
+    limits = spark.createDataFrame([("cache_lookup", 0.002, 0.0022)], "metric string, min_value double, max_value double")
+    found = []
+    stream = monitor.metric_stream(monitor.stream_table(spark, data, "performance_metrics"))
+    monitor.alert_sink(stream, limits, lambda rows, number: found.extend(r.id for r in rows.collect()), once=True).awaitTermination()
+    rows = spark.read.parquet(f"{data}/performance_metrics.parquet").where("event_name = 'cache_lookup' and abs(duration) < double('infinity') and (duration < 0.002 or duration > 0.0022)")
+    assert sorted(found) == sorted(r.id for r in rows.collect()) and found
+
+
+@pytest.mark.parametrize(("seconds", "most"), [(60, 7), (5, 300), (10_000, 64), (0, 1)])
+def test_rolling_against_brute_force(spark, seconds, most):
+    rows = points(700)
+    got = {r.id: r for r in M.rolling(spark.createDataFrame(rows, SCHEMA), seconds, most).collect()}
+    assert len(got) == len(rows)
+    for name in "ab":
+        own = sorted((r[1], r[2], r[3]) for r in rows if r[0] == name)
+        for k, (t, i, v) in enumerate(own):
+            frame = [x for u, _, x in own[max(0, k - most + 1) : k + 1] if u >= t - seconds]
+            r = got[i]
+            assert (r.n, r.low, r.high, r["last"]) == (len(frame), min(frame), max(frame), v) and abs(r["mean"] - mean(frame)) < 1e-12
+            assert abs(r["std"] - (stdev(frame) if len(frame) > 1 else 0.0)) < 1e-9
 
 
 @pytest.mark.parametrize("chunk_rows", [200_000, 1000, 13])

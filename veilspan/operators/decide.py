@@ -38,7 +38,7 @@ def p_value(t: Column, free: Column) -> Column:
     height = lambda i: F.pow(F.cos(angle * i / INTERVALS), free - 1) * F.when((i == 0) | (i == INTERVALS), 1).when(i % 2 == 1, 4).otherwise(2)
     area = F.aggregate(F.sequence(F.lit(0), F.lit(INTERVALS)), F.lit(0.0), lambda a, i: a + height(i)) * angle / (3 * INTERVALS)
     p = 1 - 2 * area * gamma_ratio(free / 2) / math.sqrt(math.pi)
-    return F.when(free > 0, F.when(F.abs(t) >= FAR, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))))
+    return F.when((free > 0) & t.isNotNull(), F.when(F.abs(t) >= FAR, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))))
 
 
 def decided(tests: DataFrame, alpha: float = ALPHA) -> DataFrame:

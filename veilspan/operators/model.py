@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.operators.features import context_features, pattern_features, text_features
@@ -19,6 +20,39 @@ def with_features(df: DataFrame, text: str, context: str) -> tuple[DataFrame, li
     return df.withColumns({k: F.coalesce(c, F.lit(0.0)) for k, c in cols.items()}), sorted(cols)
 
 
+def area(scored: DataFrame, label: str) -> float:
+    """The area under the ROC curve; 0.5 where only one label is there."""
+    if scored.select(label).distinct().limit(2).count() < 2:
+        return 0.5
+    return round(BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="confidence").evaluate(scored), 6)
+
+
+def save(model, calibration, folder: str, stamp: str) -> str:
+    """Write both parts of a model under a version, which sorts by time; the folder it is in."""
+    path = f"{folder}/{stamp}"
+    model.write().overwrite().save(f"{path}/pipeline")
+    calibration.write().overwrite().save(f"{path}/calibration")
+    return path
+
+
+def versions(spark: SparkSession, folder: str) -> list[str]:
+    """The stored versions, newest first; none where there is no folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted((f.getPath().getName() for f in files.listStatus(at) if f.isDirectory()), reverse=True) if files.exists(at) else []
+
+
+def latest(spark: SparkSession, folder: str):
+    """The newest stored model as (pipeline, calibration), or None."""
+    found = versions(spark, folder)
+    return (PipelineModel.load(f"{folder}/{found[0]}/pipeline"), IsotonicRegressionModel.load(f"{folder}/{found[0]}/calibration")) if found else None
+
+
+def importance(features: dict[str, Column]) -> dict[str, Column]:
+    """What each feature weighs at least: its size, 0.01 where it is zero or missing."""
+    return {k: F.when(F.coalesce(F.abs(c), F.lit(0.0)) > 0, F.abs(c)).otherwise(0.01) for k, c in features.items()}
+
+
 def split(df: DataFrame, key: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Four fifths to learn from and one to test on, by the hash of the key."""
     part = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(5))

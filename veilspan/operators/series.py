@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,18 +110,55 @@ def _newest(series: DataFrame, n: int) -> DataFrame:
     return few.withColumn("r", rank("metric")).where(F.col("r") <= n).drop("part")
 
 
+def _extremes(v: np.ndarray, first: np.ndarray, pick) -> np.ndarray:
+    """The least or greatest of v[first[i] .. i] for every i, from tables of doubling width."""
+    at = np.arange(len(v))
+    level = np.floor(np.log2(at - first + 1)).astype(int)
+    out, wide = np.empty_like(v), v
+    for k in range(int(level.max(initial=0)) + 1):
+        own = np.flatnonzero(level == k)
+        out[own] = pick(wide[first[own]], wide[at[own] - (1 << k) + 1])
+        longer = wide.copy()
+        if 1 << k < len(v):
+            longer[: -(1 << k)] = pick(wide[: -(1 << k)], wide[1 << k :])
+        wide = longer
+    return out
+
+
+def _sums(x: np.ndarray, first: np.ndarray, most: int) -> np.ndarray:
+    """The sum of x[first[i] .. i]; prefix sums start anew every ``most`` places, so that they stay small, and a frame meets two of them at most."""
+    at, blocks = np.arange(len(x)), -(-len(x) // most)
+    padded = np.zeros(blocks * most, dtype=np.longdouble)
+    padded[: len(x)] = x
+    upto = np.cumsum(padded.reshape(blocks, most), axis=1).ravel()
+    before = np.where(first % most > 0, upto[np.maximum(first - 1, 0)], 0)
+    whole = upto[np.minimum(first // most * most + most - 1, len(upto) - 1)]
+    return np.where(first // most == at // most, upto[at] - before, whole - before + upto[at])
+
+
 def rolling(series: DataFrame, seconds: int, most: int) -> DataFrame:
-    """For each point the statistics of the points of the last ``seconds``, at most the last ``most`` of them."""
-    w = _window()
-    placed = chunked(series, rows=most)
-    # Both bounds at once: the values of the last rows, and of those the recent ones.
-    recent = F.filter(F.collect_list(F.struct("ts", "value")).over(w.rowsBetween(1 - most, 0)), lambda x: x["ts"] >= F.col("ts") - seconds)
-    out = placed.withColumn("v", F.transform(recent, lambda x: x["value"])).where(~F.col("halo"))
-    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
-    out = out.withColumn("mean", mean)
-    var = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
-    std = F.when(F.size("v") > 1, F.sqrt(var / (F.size("v") - 1))).otherwise(F.lit(0.0))
-    return out.select("metric", "id", F.size("v").cast("bigint").alias("n"), "mean", F.array_min("v").alias("low"), F.array_max("v").alias("high"), std.alias("std"), F.col("value").alias("last"))
+    """For each point the statistics of the points of the last ``seconds``, at most the last ``most`` of them.
+
+    Each chunk is one vectorized pass: frames only move on, so sums come from prefix sums and extremes from tables of
+    doubling width, whatever the size of a frame.
+    """
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["ts", "id"], kind="stable")
+        t, v = f["ts"].to_numpy(np.float64), f["value"].to_numpy(np.float64)
+        first = np.maximum(np.searchsorted(t, t - seconds), np.arange(len(t)) - most + 1)
+        n = np.arange(len(t)) - first + 1
+        center = np.median(v)
+        x = v.astype(np.longdouble) - center
+        one, two = _sums(x, first, most), _sums(x * x, first, most)
+        low, high = _extremes(v, first, np.minimum), _extremes(v, first, np.maximum)
+        var = np.where((n > 1) & (low < high), np.maximum(two - one * one / n, 0) / np.maximum(n - 1, 1), 0)
+        out = {"metric": f["metric"], "id": f["id"], "n": n, "mean": (center + one / n).astype(np.float64), "low": low, "high": high, "std": np.sqrt(var).astype(np.float64), "last": v}
+        return pd.DataFrame(out)[~f["halo"].to_numpy()]
+
+    kinds = {x.name: x.dataType.simpleString() for x in series.schema.fields}
+    placed = chunked(series, rows=most).select("metric", "chunk", "ts", "id", F.col("value").cast("double").alias("value"), "halo")
+    return placed.groupBy("metric", "chunk").applyInPandas(run, f"metric string, id {kinds['id']}, n bigint, mean double, low double, high double, std double, last double")
 
 
 def threshold_alerts(series: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.patterns import CATEGORY_SPECIFICITY, DEFAULT_SPECIFICITY, PATTERN_SPECIFICITY, catalogue, jvm
+from veilspan.operators.learning import needed
 from veilspan.session import spread
 
 SPAN = "array<struct<pattern:string,category:string,ord:int,n:int,full:string,full_start:int,text:string,start:int,end:int,specificity:int>>"
@@ -17,6 +18,18 @@ SPAN = "array<struct<pattern:string,category:string,ord:int,n:int,full:string,fu
 OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ufffd"
 
 
+def literal(expression: str, ignore_case: bool) -> str:
+    """The longest run of characters that every match holds, so that a text without it need not be searched; none where case is ignored."""
+    return "" if ignore_case or expression.startswith("(?i)") else needed(expression)
+
+
+def matches(text: Column, expression: str, ignore_case: bool) -> Column:
+    """How often a pattern matches."""
+    n = F.regexp_count(text, F.lit(jvm(expression, ignore_case)))
+    word = literal(expression, ignore_case)
+    return F.when(F.contains(text, F.lit(word)) | text.isNull(), n).otherwise(0) if word else n
+
+
 def pattern_spans(text: Column, name: str, category: str, expression: str, ignore_case: bool, ord_: int) -> Column:
     """All matches of one pattern as an array of spans, with offsets in characters.
 
@@ -52,7 +65,8 @@ def pattern_spans(text: Column, name: str, category: str, expression: str, ignor
 
     # Bound once, step by step; inside the function the pattern would run again for every match.
     bound = F.transform(F.array(marked), lambda m: F.struct(m.alias("parts"), ends(m).alias("ends")))
-    return F.flatten(F.transform(bound, spans))
+    found = F.flatten(F.transform(bound, spans))
+    return F.when(F.contains(text, F.lit(word)), found).otherwise(F.array().cast(SPAN)) if (word := literal(expression, ignore_case)) else found
 
 
 def once(value: Column, f) -> Column:
@@ -85,7 +99,7 @@ def find_spans(df: DataFrame, key: str, text: str, patterns: list[tuple[str, str
 
 def category_counts(df: DataFrame, text: str, patterns: list[tuple[str, str, str, bool]], *by: str) -> DataFrame:
     """Matches per category (and ``by``) without offsets: counts are enough for reports."""
-    one = F.array(*[F.struct(F.lit(c).alias("category"), F.regexp_count(F.col(text), F.lit(jvm(p, i))).alias("n")) for _, c, p, i in patterns])
+    one = F.array(*[F.struct(F.lit(c).alias("category"), matches(F.col(text), p, i).alias("n")) for _, c, p, i in patterns])
     rows = spread(df.where(F.col(text).isNotNull()).select(*by, text)).select(*by, F.explode(one).alias("x")).where("x.n > 0")
     return rows.groupBy(*by, F.col("x.category").alias("category")).agg(F.sum("x.n").cast("bigint").alias("matches"))
 

@@ -50,7 +50,7 @@ def plain_docs_by_lang(spark, root):
 
 
 def _topk(spark, root, patterns):
-    n = reduce(lambda a, b: a + b, (F.regexp_count("text", F.lit(S.jvm(p, i))) for _, _, p, i in patterns))
+    n = reduce(lambda a, b: a + b, (S.matches(F.col("text"), p, i) for _, _, p, i in patterns))
     return spread(_docs(spark, root)).select("doc_id", n.cast("bigint").alias("matches")).orderBy(F.desc_nulls_last("matches"), "doc_id").limit(10)
 
 

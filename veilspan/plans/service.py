@@ -274,7 +274,7 @@ SELECT m.test_id, test_name, m.group_name, m.metric_name, coalesce(n, 0) AS n, r
 FROM m LEFT JOIN r ON m.test_id = r.test_id AND m.group_name = r.group_name AND m.metric_name = r.metric_name""",
     "ab_decision": f"""WITH tt AS ({_T['ab_t_stat']}), a AS (SELECT *, least(abs(t), {D.FAR}) AS s, CAST(df AS DOUBLE) AS f FROM tt), b AS (SELECT *, atan(s / sqrt(f)) AS w, f / 2 AS x, f / 2 + {D.SHIFTS} AS z FROM a),
 i AS (SELECT *, list_sum(list_transform(range({D.INTERVALS} + 1), lambda i: pow(cos(w * i / {D.INTERVALS}), f - 1) * CASE WHEN i = 0 OR i = {D.INTERVALS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)) * w / (3 * {D.INTERVALS}) AS area FROM b),
-q AS (SELECT test_id, metric_name, t, leader, CASE WHEN f > 0 THEN round(CASE WHEN abs(t) >= {D.FAR} THEN 0 ELSE greatest(0, least(1, 1 - 2 * area * {_GAMMA} / {math.sqrt(math.pi)!r})) END, 6) END AS p FROM i),
+q AS (SELECT test_id, metric_name, t, leader, CASE WHEN f > 0 AND t IS NOT NULL THEN round(CASE WHEN abs(t) >= {D.FAR} THEN 0 ELSE greatest(0, least(1, 1 - 2 * area * {_GAMMA} / {math.sqrt(math.pi)!r})) END, 6) END AS p FROM i),
 y AS (SELECT *, coalesce(p < 0.05, FALSE) AS significant, CASE WHEN p < 0.05 THEN leader END AS winner FROM q)
 SELECT y.test_id, y.metric_name, y.t, y.p, y.significant, y.winner, o.winner AS test_winner FROM y LEFT JOIN y o ON o.test_id = y.test_id AND o.metric_name = 'accuracy'""",
     "ab_assign": f"SELECT document_id, CASE WHEN {_PLACE} <= 0.5 THEN 'control' WHEN {_PLACE} <= 0.7 THEN 'small' WHEN {_PLACE} <= 1.0 THEN 'large' ELSE 'control' END AS group_name FROM pdf_documents WHERE document_id IS NOT NULL",

@@ -217,11 +217,22 @@ _PLACED = f"""x AS (SELECT id, detection_text AS t, context, CASE category {' '.
 l AS (SELECT *, list_last(string_split(substr(context, 1, pos), chr(10))) || string_split(substr(context, pos + 1), chr(10))[1] AS line, substr(context, greatest(1, pos - 99), 200) AS near FROM x),
 s AS (SELECT *, CASE {_IN_LINE} {_IN_NEAR} END AS section FROM l),
 v AS (SELECT *, round(least(1.0, greatest(0.0, CAST({C.BASE} AS DOUBLE) {' '.join(f'+ CASE WHEN {c} THEN CAST({v} AS DOUBLE) ELSE 0 END' for v, c in _SIGNS)})), 6) AS score FROM s WHERE kind IS NOT NULL)"""
+#: Pieces between a phrase's occurrences tell what stands on either side of each.
+_LEARN = r"""p AS (SELECT DISTINCT detection_text AS phrase FROM training_examples WHERE regexp_matches(detection_text, '[\p{L}\p{N}_]')), c AS (SELECT context AS t FROM training_examples WHERE context IS NOT NULL UNION ALL SELECT text_segment FROM user_feedback WHERE text_segment IS NOT NULL),
+t AS (SELECT t, count(*) AS times FROM c GROUP BY ALL), m AS (SELECT phrase, times, string_split(t, phrase) AS q FROM p JOIN t ON contains(t, phrase)),
+h AS (SELECT phrase, times, len(list_filter(range(1, len(q)), lambda i: NOT regexp_matches(CASE WHEN i > 1 THEN phrase ELSE '' END || q[i], '[\p{L}\p{N}_]$') AND NOT regexp_matches(q[i + 1] || CASE WHEN i + 1 < len(q) THEN phrase ELSE '' END, '^[\p{L}\p{N}_]'))) AS n FROM m)"""
 ORACLE = {
     "section_classes": f"WITH {_PLACED} SELECT section, count(*) AS examples FROM s GROUP BY ALL",
     "context_scores": f"WITH {_PLACED} SELECT id, score FROM v",
     "validation_flags": f"""WITH {_PLACED} SELECT id, concat_ws(',', CASE WHEN score < 0.4 THEN 'low_confidence' END, CASE WHEN section IN ('header', 'footer', 'table_header') THEN 'structural_element' END, CASE WHEN {_META} THEN 'document_metadata' END,
 CASE WHEN kind = 'person_name' AND len(list_filter(regexp_split_to_array(t, '[\\s\\p{{Z}}]+'), lambda w: w <> '')) > 3 THEN 'overly_long_name' END, CASE WHEN kind = 'organization' AND lower(t) IN {_list(C.QUESTIONS)} THEN 'common_word' END) AS flags FROM v""",
+    "learn_candidates": f"WITH {_LEARN} SELECT phrase, CAST(sum(n * times) AS BIGINT) AS hits, CAST(sum(times) AS BIGINT) AS texts FROM h WHERE n > 0 GROUP BY ALL",
+    "pattern_precision": f"""WITH {_LEARN}, k AS (SELECT phrase, CAST(sum(n * times) AS BIGINT) AS hits FROM h WHERE n > 0 GROUP BY ALL)
+SELECT phrase, hits AS positive_matches, CAST(0 AS BIGINT) AS negative_matches, CAST(1 AS DOUBLE) AS precision FROM k WHERE phrase IN (SELECT detection_text FROM training_examples WHERE is_true_positive)""",
+    "salutation_base_name": r"""WITH x AS (SELECT id, regexp_extract(text_segment, 'atsakė (\p{Lu}\p{Ll}+)', 1) AS name FROM user_feedback), y AS (SELECT *, lower(name) AS low, len(name) AS n FROM x WHERE name <> ''),
+z AS (SELECT *, regexp_matches(low, '^(toma|jona|petra|antana)i$') OR (n >= 5 AND NOT regexp_matches(left(low, n - 2), '(ij|ar|er)$')) AS m FROM y)
+SELECT id, name, CASE WHEN ends_with(low, 'iui') THEN left(name, n - 3) || 'ius' WHEN ends_with(low, 'ui') THEN left(name, n - 2) || 'as' WHEN ends_with(low, 'ai') AND NOT m THEN left(name, n - 2) || 'a' WHEN ends_with(low, 'iai') THEN left(name, n - 3) || 'ija'
+WHEN ends_with(low, 'ei') THEN left(name, n - 2) || 'ė' WHEN ends_with(low, 'iau') THEN left(name, n - 3) || 'ius' WHEN ends_with(low, 'ai') AND n > 3 THEN left(name, n - 2) || 'as' ELSE name END AS base FROM z""",
     "metadata_contexts": f"SELECT id FROM training_examples WHERE {_META}",
     "title_texts": r"""WITH w AS (SELECT id, text, regexp_extract_all(lower(text), '\p{L}+|[^\p{L}]+') AS p FROM detection_results WHERE category = 'names' AND text IS NOT NULL)
 SELECT id, array_to_string(list_transform(p, lambda x: upper(x[1]) || x[2:]), '') AS titled FROM w""",
