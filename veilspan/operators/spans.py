@@ -92,9 +92,14 @@ def doc_spans(df: DataFrame, key: str, text: str, patterns: list[tuple[str, str,
     return found.select(key, "whole", once(F.col("spans"), own).alias("spans"))
 
 
+def flat(spans: Column) -> Column:
+    """One row per span.  Taken from an expression of its own: of a bare column the optimizer would compute every field apart, each with all the patterns."""
+    return F.inline(F.filter(spans, lambda s: s["n"] >= 0))
+
+
 def find_spans(df: DataFrame, key: str, text: str, patterns: list[tuple[str, str, str, bool]] | None = None) -> DataFrame:
     """One row per match: ``key`` and the fields of the span."""
-    return doc_spans(df, key, text, patterns).select(key, F.inline("spans"))
+    return doc_spans(df, key, text, patterns).select(key, flat(F.col("spans")))
 
 
 def category_counts(df: DataFrame, text: str, patterns: list[tuple[str, str, str, bool]], *by: str) -> DataFrame:

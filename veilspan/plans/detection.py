@@ -29,7 +29,7 @@ def _found(spark: SparkSession, root: str, patterns: list[tuple[str, str, str, b
 
 def _spans(spark: SparkSession, root: str, patterns: list[tuple[str, str, str, bool]] | None = None) -> DataFrame:
     """One row per span."""
-    return _found(spark, root, patterns).select("doc_id", F.inline("spans"))
+    return _found(spark, root, patterns).select("doc_id", S.flat(F.col("spans")))
 
 
 def pii_category_counts(spark, root):

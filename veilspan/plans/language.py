@@ -68,7 +68,7 @@ def overlapping_spans(spark, root):
 
 def _in_context(spark, root, patterns=None):
     """Spans with their confidence after looking for ``forbidden`` and ``confirmed`` within 50 characters; the text is still at hand."""
-    rows = _found(spark, root, patterns).select("doc_id", "whole", F.inline("spans"))
+    rows = _found(spark, root, patterns).select("doc_id", "whole", S.flat(F.col("spans")))
     near = F.substring("whole", F.greatest(F.lit(1), F.col("start") - 49), F.col("end") - F.col("start") + 100)
     return rows.withColumn("confidence", L.keyword_adjusted(S.base_confidence(F.col("specificity")), near)).drop("whole")
 
