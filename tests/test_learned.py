@@ -45,3 +45,22 @@ def test_final_detections(spark, tmp_path):
     (r,) = QUERIES["final_detections"](spark, str(tmp_path)).collect()
     got = json.loads(r.detections)
     assert got["cards"] == [{"text": "BABEKI-123", "tag": "CONTEXT_0.55"}] and got["emails"][0]["text"] == "jonas@example.lt" and "other" not in got and "names" not in got
+
+
+def test_one_round_of_learning(spark):
+    from veilspan.operators.learning import learn_cycle
+
+    feedback = [(1, "Ona B.", "false_negative", "dates", None), (2, "Ona B.", "confirmed_pii", "names", "names"), (3, "Petras", "false_positive", "names", None), (4, "absent", "confirmed_pii", "names", None), (5, None, "confirmed_pii", "names", None), (6, "Kaunas", "category_correction", "names", "locations")]
+    df = spark.createDataFrame(feedback, "id int, text_segment string, feedback_type string, detected_category string, user_corrected_category string")
+    corpus = spark.createDataFrame([("Ona B. ir Petras, Kaunas",), (None,)], "t string")
+    old = spark.createDataFrame([("old", r"\bKaunas\b", "x", 0.5, 3), ("keep", "k", "x", 0.9, 1)], "pattern_id string, regex string, pii_category string, confidence double, version_no int")
+    got = {r.regex: (r.pii_category, r.confidence, r.version_no) for r in learn_cycle(df, corpus, "t", old).collect()}
+    assert got == {r"\bOna B\.\b": ("dates", 1.0, 1), r"\bKaunas\b": ("locations", 1.0, 4), "k": ("x", 0.9, 1)}
+    assert next(r.pattern_id for r in learn_cycle(df, corpus, "t", old).collect() if "Kaunas" in r.regex) == "old"
+
+
+def test_all_features(spark, data):
+    from veilspan.plans.texts import features_all
+
+    row = features_all(spark, data).collect()[0].asDict()
+    assert len(row) == 106 and row["text_length"] > 0 and row["noun_ratio"] == 0

@@ -33,6 +33,13 @@ SECTIONS = {"in_header": "header", "in_footer": "footer", "in_table": "table_hea
 READABILITY = {"flesch_reading_ease": 50.0, "flesch_kincaid_grade": 10.0, "automated_readability_index": 10.0}
 
 
+# The linguistic features, which are all 0 where no language model is at hand.
+LINGUISTIC = (
+    "noun_ratio", "verb_ratio", "adj_ratio", "propn_ratio", "num_ratio", "punct_ratio", "has_person_entity", "has_org_entity", "has_gpe_entity", "has_date_entity", "has_time_entity", "entity_count", "entity_density",
+    "has_title_case_token", "has_alpha_token", "has_digit_token", "has_stop_word", "has_compound", "has_root", "has_det", "avg_token_length", "token_length_std", "max_token_length",
+)
+
+
 def _words(t: Column) -> Column:
     return F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
 
@@ -121,3 +128,14 @@ def context_features(t: Column, context: Column, section: Column | None = None,
         "context_has_lithuanian": _flag(F.lower(context).rlike(f"[{LITHUANIAN}]")), "context_mixed_case": _flag(context.rlike(r"\p{Lu}") & context.rlike(r"\p{Ll}")), "context_mostly_caps": _flag(upper > 0.5),
     }
     return {k: F.coalesce(c, F.lit(0)).cast("double") for k, c in out.items()}
+
+
+def linguistic_features() -> dict[str, Column]:
+    """The 23 linguistic features without a language model."""
+    return {k: F.lit(0.0) for k in LINGUISTIC}
+
+
+def all_features(t: Column, context: Column, category: Column, kind: Column, language: Column, length: Column) -> dict[str, Column]:
+    """All 106 features, of equal names the later kind's; what cannot be computed is 0."""
+    merged = text_features(t) | context_features(t, context) | linguistic_features() | pattern_features(t, category) | document_features(kind, language, length)
+    return {k: F.coalesce(c, F.lit(0.0)) for k, c in merged.items()}

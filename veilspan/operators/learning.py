@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.patterns import DEFAULT_SPECIFICITY
+from veilspan.operators.quality import keep_best
 from veilspan.session import spread
 
 #: A learned pattern is kept at this precision or above.
@@ -52,6 +53,30 @@ def learned(hits: DataFrame, truth: DataFrame, phrase: str, least: int = 1) -> D
     return out.withColumn("precision", precision).where((F.col("precision") >= LEAST_PRECISION) & (F.col("positive_matches") >= least)).select("phrase", "positive_matches", "negative_matches", "precision")
 
 
+#: Kinds of feedback that patterns are learned from.
+TEACHING = ("false_negative", "category_correction", "confirmed_pii")
+
+
+def taught(feedback: DataFrame, least: int = 1) -> DataFrame:
+    """(phrase, category, times): what feedback says is personal data, at least ``least`` times; the category is the first one given, corrected before detected."""
+    rows = feedback.where(F.col("feedback_type").isin(*TEACHING) & F.col("text_segment").isNotNull() & (F.col("text_segment") != ""))
+    first = F.min_by(F.coalesce("user_corrected_category", "detected_category"), "id")
+    return rows.groupBy(F.col("text_segment").alias("phrase")).agg(first.alias("category"), F.count(F.lit(1)).alias("times")).where(F.col("times") >= least)
+
+
+def learn_cycle(feedback: DataFrame, corpus: DataFrame, text: str, patterns: DataFrame, least: int = 1) -> DataFrame:
+    """One round of learning: phrases that feedback teaches are looked for in the corpus, and those that hold are upserted into the patterns.
+
+    A pattern is the phrase as a whole word; one that is known is replaced only by a higher confidence.
+    """
+    known = taught(feedback, least)
+    good = learned(phrase_hits(corpus, text, known, "phrase"), known, "phrase", least).join(known.select("phrase", "category"), "phrase")
+    regex = F.concat(F.lit(r"\b"), F.regexp_replace("phrase", r"([^\p{L}\p{N}_\s])", r"\\$1"), F.lit(r"\b"))
+    new = good.select(F.concat(F.lit("p_"), F.md5(regex)).alias("pattern_id"), regex.alias("regex"), F.col("category").alias("pii_category"), F.col("precision").alias("confidence"), F.lit(1).alias("version_no"))
+    old = patterns.where("regex is not null").groupBy("regex").agg(F.max_by(F.struct("pattern_id", "regex", "pii_category", "confidence", "version_no"), F.struct("confidence", "pattern_id")).alias("b")).select("b.*")
+    return keep_best(old, new, "regex", "confidence")
+
+
 class _Folded(dict):
     """Code points by one of those that are equal to them where case is ignored; lengths stay."""
 

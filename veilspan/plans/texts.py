@@ -9,7 +9,7 @@ from veilspan.functions.terms import DOCUMENT_TERMS, GEOGRAPHIC_EXCLUSIONS, LITH
 from veilspan.operators import context as C
 from veilspan.operators import features as X
 from veilspan.operators import validate as V
-from veilspan.operators.learning import learned, phrase_hits
+from veilspan.operators.learning import learn_cycle, learned, phrase_hits
 from veilspan.session import spread
 from veilspan.sources.tables import table
 
@@ -113,6 +113,23 @@ def pattern_precision(spark, root):
     return learned(learn_candidates(spark, root), truth, "detection_text")
 
 
+def learned_patterns(spark, root):
+    """The patterns after one round of learning from the feedback, over the contexts of all examples and the feedback itself."""
+    feedback = table(spark, root, "user_feedback", "id", "text_segment", "feedback_type", "detected_category", "user_corrected_category")
+    corpus = table(spark, root, "training_examples", F.col("context").alias("text")).unionByName(feedback.select(F.col("text_segment").alias("text")))
+    rows = learn_cycle(feedback, corpus, "text", table(spark, root, "adaptive_patterns", "pattern_id", "regex", "pii_category", "confidence", "version_no"))
+    return rows.select("regex", "pii_category", "confidence", "version_no")
+
+
+def features_all(spark, root):
+    """All 106 features of the training examples by their mean."""
+    rows = table(spark, root, "training_examples", "detection_text", "category", "context", "document_type").where("detection_text is not null")
+    kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
+    context = F.coalesce("context", F.lit(""))
+    cols = X.all_features(F.col("detection_text"), context, F.try_element_at(kinds, F.col("category")), F.col("document_type"), F.lit("lt"), F.length(context))
+    return spread(rows).select(*[c.alias(k) for k, c in cols.items()]).agg(*[F.round(F.avg(k), 9).alias(k) for k in cols])
+
+
 def salutation_base_name(spark, root):
     """Words after a verb of answering, in the nominative."""
     rows = table(spark, root, "user_feedback", "id", "text_segment")
@@ -146,7 +163,7 @@ def balanced_sample(spark, root, seed: int = 42):
 
 NAMES = (
     "person_name_valid", "swift_valid", "organization_valid", "brand_filter", "term_anti_join", "doc_type_classify", "features_text", "features_pattern", "features_document", "features_context", "section_classes", "context_scores", "validation_flags", "metadata_contexts",
-    "learn_candidates", "pattern_precision", "salutation_base_name", "repaired_text", "extraction_scores", "title_texts", "balanced_sample",
+    "learn_candidates", "pattern_precision", "learned_patterns", "features_all", "salutation_base_name", "repaired_text", "extraction_scores", "title_texts", "balanced_sample",
 )
 QUERIES = {n: globals()[n] for n in NAMES}
 
