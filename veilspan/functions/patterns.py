@@ -84,6 +84,14 @@ FALLBACK = {
     "lithuanian_mobile_prefixed": r"Tel\.\s*(?:nr\.\s*:?\s*)?\+370\s+\d{3}\s+\d{5}\b",
     "lithuanian_phone_generic": r"\+370\s+\d{3}\s+\d{5}\b",
     "lithuanian_iban": r"\bLT\d{2}(?:\s?\d{4}){4}\b",
+    "blood_group": r"(?<!\w)(?:A|B|AB|O)[+\-](?!\w)",
+    "lithuanian_car_plate_enhanced": r"(?i)(?:valst\.?\s*nr\.?|automobilio\s+nr\.?|numeris)[:–-]*([A-Z]{3}[-\s]?\d{3})\b",
+    "lithuanian_name_all_caps": r"\b([A-ZČĘĖĮŠŲŪŽ]{2,}(?:IENĖ|AITĖ|YTĖ|UTĖ|ŪTĖ|AS|IS|YS|US|IUS|Ė|A)\s+[A-ZČĘĖĮŠŲŪŽ]{2,}(?:IENĖ|AITĖ|YTĖ|UTĖ|ŪTĖ|AS|IS|YS|US|IUS|Ė|A))|\b([A-ZČĘĖĮŠŲŪŽ]{2,}\s+[A-ZČĘĖĮŠŲŪŽ]{2,}(?:IENĖ|AITĖ|YTĖ|UTĖ|ŪTĖ|AS|IS|YS|US|IUS|Ė|A))\b",
+    "lithuanian_name_contextual": r"(?:Draudėjas|Vardas|Pavardė|Sutartį\s+sudarė)[:–-]?\s*([A-ZĄČĘĖĮŠŲŪŽ][a-ząčęėįšųūž]+(?:\s+[A-ZĄČĘĖĮŠŲŪŽ][a-ząčęėįšųūž]+)*?)(?=\s*\n|\s*$|\s*,|\s*\.|asmens\s+kodas|tel\.|phone|email)",
+    "lithuanian_name_simple": r"\b([A-ZĄČĘĖĮŠŲŪŽ][a-ząčęėįšųūž]+\s+[A-ZĄČĘĖĮŠŲŪŽ][a-ząčęėįšųūž]+(?:ienė|aitė|ytė|utė|ūtė|as|is|ys|us|ius|ė|a)?)\b",
+    "lithuanian_name_contextual_caps": r"(?:Draudėjas|DRAUDĖJAS|Vardas|VARDAS)[:–-]?\s*([A-ZČĘĖĮŠŲŪŽ]{3,}\s+[A-ZČĘĖĮŠŲŪŽ]{3,})\b",
+    "lithuanian_address_flexible": r"\b([A-ZĄČĘĖĮŠŲŪŽ][a-ząčęėįšųūž]{3,}(?:io|ės)?\s*(?:g\.|gatvė|pr\.|prospektas|al\.|alėja)?(?:\s*\d+(?:[A-Za-z]?(?:-\d+)?)?))",
+    "lithuanian_personal_code_contextual": r"(?:asmens\s+kodas|asmens/įmonės\s+kodas|A\.K\.)[:–-]?\s*(\d{11})\b",
     "ssn": r"\b\d{3}[-]?\d{2}[-]?\d{4}\b",
     "credit_card": r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b",
     "lithuanian_license_plate": r"\b[A-Z]{3}[-\s]?\d{3}\b",
